@@ -1,5 +1,6 @@
 """All DuckDB check statements by catalogue name."""
 
+from checks.retention_sql import SQL as RETENTION_SQL
 from checks.returns_sql import SQL as RETURNS_SQL
 
-SQL = {**RETURNS_SQL}
+SQL = {**RETURNS_SQL, **RETENTION_SQL}

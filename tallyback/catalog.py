@@ -1,5 +1,6 @@
 """All catalogue queries by name."""
 
+from tallyback.catalog_retention import QUERIES as RETENTION
 from tallyback.catalog_returns import QUERIES as RETURNS
 
-QUERIES = {**RETURNS}
+QUERIES = {**RETURNS, **RETENTION}
