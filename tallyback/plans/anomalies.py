@@ -99,7 +99,7 @@ def flag_reason(robust: Column, forest: Column) -> Column:
 
 def review_queue(robust: DataFrame, forest: DataFrame) -> DataFrame:
     """All orders with both flags, their union and the reason."""
-    joined = robust.join(forest.select("order_id", "isolation_forest_flag"), "order_id", "left")
+    joined = robust.join(forest.select("order_id", "isolation_score", "isolation_forest_flag"), "order_id", "left")
     by_forest = F.coalesce("isolation_forest_flag", F.lit(0))
     return joined.withColumns(
         {
