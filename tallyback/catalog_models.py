@@ -176,7 +176,7 @@ def _anomaly_queue_rows(t):
 
 
 def _forest_scores(t):
-    features = A.repaired_inputs(M.cut_lineage(A.order_features(t)))
+    features = A.repaired_inputs(A.order_features(t))
     return D.isolation_forest(features, "order_id", A.FOREST_INPUTS, trees=FOREST_TREES).select(
         "order_id", "isolation_score", "isolation_forest_flag"
     )

@@ -9,6 +9,7 @@ from tallyback.functions import columns as C
 from tallyback.operators.quantiles import exact_quantile
 from tallyback.operators.sizing import settle
 from tallyback.plans.retention import product_dimension
+from tallyback.session import cut_lineage
 from tallyback.sources.tables import Tables
 
 # Scale of a normal MAD, flag limit, and the scored order columns.
@@ -24,8 +25,11 @@ def priced_items(t: Tables) -> DataFrame:
 
 
 def category_price_stats(items: DataFrame) -> DataFrame:
-    """Exact median price and median absolute deviation per category."""
-    known = items.filter("category IS NOT NULL").select("category", "item_price")
+    """Exact median price and median absolute deviation per category.
+
+    The two columns are written once, since four passes read them.
+    """
+    known = cut_lineage(items.filter("category IS NOT NULL").select("category", "item_price"))
     medians = settle(exact_quantile(known, F.col("item_price"), 0.5, ["category"], "price_median"))
     spread = F.abs(F.col("item_price") - F.col("price_median"))
     mads = exact_quantile(known.join(medians, "category"), spread, 0.5, ["category"], "price_mad")
@@ -55,8 +59,9 @@ def anomaly_rollup(t: Tables) -> DataFrame:
 
 
 def order_features(t: Tables) -> DataFrame:
+    """Orders with their rollup, materialised: the medians read it several times."""
     orders = t["orders"].select("order_id", "user_id", "order_date", "total_amount")
-    return orders.join(anomaly_rollup(t), "order_id", "left")
+    return cut_lineage(orders.join(anomaly_rollup(t), "order_id", "left"))
 
 
 def column_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]:

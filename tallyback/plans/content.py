@@ -159,8 +159,14 @@ def ranked_products(similar: DataFrame, seeds: DataFrame, products: DataFrame) -
 
 
 def _content_frames(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    products = cut_lineage(product_contents(t))
-    vectors = cut_lineage(content_vectors(products))
+    """Products, vectors and sizes, with each text replaced by a number: pair tables then carry 8 bytes a side."""
+    texts = cut_lineage(product_contents(t))
+    numbers = global_row_number(texts.select("content").distinct(), [F.col("content")], "number")
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.join(numbers, "content").drop("content").withColumnRenamed("number", "content")
+
+    products, vectors = cut_lineage(numbered(texts)), cut_lineage(numbered(content_vectors(texts)))
     sizes = products.groupBy("content").agg(F.count(F.lit(1)).alias("products"))
     return products, vectors, sizes
 
