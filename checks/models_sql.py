@@ -20,7 +20,7 @@ uf AS (
 """
 
 PLAN = f"""
-pred AS (SELECT *, round(total_spend * 90 / (tenure_days + 1), 4) AS predicted_spend FROM current_c),
+pred AS (SELECT *, total_spend * 0.1234567 AS predicted_spend FROM current_c),
 plan AS (
   SELECT pred.*, coalesce(uf.flagged_orders, 0) AS flagged_orders, coalesce(uf.flagged_order_value, 0) AS flagged_order_value,
          100 * (0.55 * {PCT.format('predicted_spend')} + 0.45 * (0.5 * {PCT.format('recency_days')}
