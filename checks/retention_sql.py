@@ -445,4 +445,4 @@ SQL: dict[str, str] = {
         ),
     ),
 }
-SQL["distinct_dates"] = SQL["snapshot_dates"]
+SQL["distinct_dates"] = with_views(PANEL, f"SELECT DISTINCT {stamp('snapshot_date', 'snapshot_date')} FROM panel")

@@ -187,11 +187,10 @@ QUERIES: dict[str, Query] = {
     "last_purchase": on_tables(lambda t: T.last_purchases(T.items_before(t, N.snapshot_calendar(t["orders"])))),
     "top_categories": on_tables(lambda t: N.top_levels(N.revenue_share(t, "category"), "category", 2), money=MONEY),
     "stack_results": on_tables(_stack, money=MONEY, days=("day",)),
-    "distinct_dates": on_tables(N.snapshot_dates),
-    "snapshot_dates": on_tables(
-        lambda t: t["orders"].sparkSession.createDataFrame(
-            [(d,) for d in N.snapshot_calendar(t["orders"]).dates], "snapshot_date timestamp_ntz")
-    ),
+    "distinct_dates": on_tables(
+        lambda t: N.customer_snapshot_panel(t).select("snapshot_date").distinct().orderBy("snapshot_date")
+    ),
+    "snapshot_dates": on_tables(N.snapshot_dates),
     "customer_snapshot_panel": on_tables(_panel, digits=8, money=MONEY),
     "risk_score": on_tables(lambda t: N.risk_scores(N.current_customers(t)), digits=8),
     "rfm_segments": on_tables(lambda t: _current(t).select("user_id", "recency_days", "order_count", "segment")),

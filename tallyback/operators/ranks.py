@@ -52,26 +52,25 @@ def total_before(df: DataFrame, order_by: list[str], weight: str, out: str) -> D
 def percent_ranks(df: DataFrame, key: list[str], values: dict[str, Column]) -> DataFrame:
     """Average-tie rank over the non-null count for several values at once.
 
-    Returns ``key`` plus one column per entry of ``values``. Only one row per
-    distinct (name, value) is ordered, so a value shared by many rows costs
-    nothing extra. Ranks go back to the rows by a shuffle join on (name, value),
-    where adaptive execution splits a hot value.
+    Returns ``key`` plus one column per entry of ``values``, one row per input
+    row; null values have no rank. Only one row per distinct (name, value) is
+    ordered, so a value shared by many rows costs nothing extra. Ranks go back
+    to the rows by an unhinted join per value, where the planner sees the
+    size of the rank table and adaptive execution splits a hot value.
     """
-    entries = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in values.items()])
-    long = df.select(*key, F.inline(entries)).filter("value IS NOT NULL")
-    counts = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("ties"))
+    rows = df.select(*key, *[v.cast("double").alias(f"_{n}") for n, v in values.items()])
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("value")) for n in values])
+    counts = (
+        rows.select(F.inline(entries)).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("ties"))
+    )
     placed = total_before(counts, ["name", "value"], "ties", "before_all")
     spans = placed.groupBy("name").agg(F.min("before_all").alias("first_before"), F.sum("ties").alias("total"))
-    ranks = placed.join(F.broadcast(spans), "name").select(
-        "name",
-        "value",
-        ((F.col("before_all") - F.col("first_before") + (F.col("ties") + 1) / 2) / F.col("total")).alias("pct_rank"),
-    )
-    return (
-        long.join(ranks, ["name", "value"])
-        .groupBy(*key)
-        .agg(*[F.max(F.when(F.col("name") == n, F.col("pct_rank"))).alias(n) for n in values])
-    )
+    average = F.col("before_all") - F.col("first_before") + (F.col("ties") + 1) / 2
+    ranks = cut_lineage(placed.join(F.broadcast(spans), "name").select("name", "value", (average / F.col("total")).alias("pct_rank")))
+    for n in values:
+        own = ranks.filter(F.col("name") == n).select(F.col("value").alias(f"_{n}"), F.col("pct_rank").alias(n))
+        rows = rows.join(own, f"_{n}", "left")
+    return rows.select(*key, *values)
 
 
 def row_number_by_day(df: DataFrame, group: str, ts: str, tie: str, out: str) -> DataFrame:

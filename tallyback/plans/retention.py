@@ -280,7 +280,7 @@ def snapshot_dates(t: Tables) -> DataFrame:
 # Running measures of the panel and the fact that feeds each.
 _RUNNING = [
     "order_count", "total_spend", "total_quantity", "unique_products", "category_breadth", "brand_breadth", "view_count",
-    "cart_count", "wishlist_count", "review_count", "rating_sum", "negative_reviews",
+    "cart_count", "wishlist_count", "review_count", "rating_sum", "rating_rows", "negative_reviews",
 ]
 _OUTCOME = ["future_order_count", "future_spend"]
 _MEASURES = _RUNNING + _OUTCOME
@@ -343,12 +343,14 @@ def snapshot_deltas(t: Tables, calendar: SnapshotCalendar) -> DataFrame:
     event_part = _deltas(events, **{f"{k}_count": (F.col("event_type") == k).cast("int") for k in ENGAGEMENT_TYPES})
 
     reviews = t["reviews"].withColumn("snapshot_no", calendar.index_of_next(F.col("review_date")))
-    review_part = _deltas(
-        reviews, review_count=one, rating_sum=F.col("rating"), negative_reviews=(F.col("rating") <= 2).cast("int")
+    rating_part = _deltas(
+        reviews, rating_sum=F.col("rating"), rating_rows=one, negative_reviews=(F.col("rating") <= 2).cast("int")
     )
+    first_reviews = reviews.groupBy("user_id", "review_id").agg(F.min("snapshot_no").alias("snapshot_no"))
+    review_part = _deltas(first_reviews.filter("review_id IS NOT NULL"), review_count=one)
 
     merged = order_part
-    for part in (outcome_part, item_part, event_part, review_part):
+    for part in (outcome_part, item_part, event_part, rating_part, review_part):
         merged = merged.unionByName(part)
     return merged.groupBy("user_id", "snapshot_no").agg(
         *[F.sum(m).alias(m) for m in _MEASURES], F.max("last_order_date").alias("last_order_date")
@@ -360,7 +362,8 @@ def customer_snapshot_panel(t: Tables, calendar: SnapshotCalendar | None = None)
 
     Deltas are summed along each user's snapshots (at most one row per
     snapshot date) and carried forward over snapshots without new facts.
-    Order and review keys must be unique, which the key guard checks upstream.
+    Order keys must be unique, which the key guard checks upstream; a repeated
+    review id counts once.
     """
     calendar = calendar or snapshot_calendar(t["orders"])
     last_no = len(calendar.dates)
@@ -378,7 +381,7 @@ def customer_snapshot_panel(t: Tables, calendar: SnapshotCalendar | None = None)
     own = F.col("snapshot_no") == F.col("from_no")
     snap = F.col("snapshot_date")
     users = t["users"].select("user_id", "gender", "signup_date")
-    whole = [m for m in _RUNNING if m not in ("total_spend", "total_quantity", "rating_sum", "negative_reviews")]
+    whole = [m for m in _RUNNING if m not in ("total_spend", "total_quantity", "rating_sum", "rating_rows", "negative_reviews")]
     return (
         filled.withColumn("snapshot_date", calendar.date_at(F.col("snapshot_no")))
         .join(users, "user_id")
@@ -396,8 +399,8 @@ def customer_snapshot_panel(t: Tables, calendar: SnapshotCalendar | None = None)
             C.log1p_floor_zero(F.col("total_spend") / F.col("order_count")).alias("avg_order_value_log1p"),
             "total_quantity",
             *[F.col(m).cast("bigint").alias(m) for m in whole],
-            F.coalesce(C.ratio(F.col("rating_sum"), F.col("review_count")), F.lit(0.0)).alias("avg_review_rating"),
-            F.coalesce(C.ratio(F.col("negative_reviews"), F.col("review_count")), F.lit(0.0)).alias("negative_review_share"),
+            F.coalesce(C.ratio(F.col("rating_sum"), F.col("rating_rows")), F.lit(0.0)).alias("avg_review_rating"),
+            F.coalesce(C.ratio(F.col("negative_reviews"), F.col("rating_rows")), F.lit(0.0)).alias("negative_review_share"),
             C.whole_days_clipped(snap, F.col("signup_date")).alias("tenure_days"),
             F.when(own, F.col("future_order_count")).otherwise(0.0).cast("bigint").alias("future_order_count"),
             F.when(own, F.col("future_spend")).otherwise(0.0).alias("future_spend"),
@@ -407,18 +410,18 @@ def customer_snapshot_panel(t: Tables, calendar: SnapshotCalendar | None = None)
 
 
 def history_before(t: Tables, calendar: SnapshotCalendar) -> DataFrame:
-    """Order count and spend before each snapshot by a range join: the direct form the panel is checked against.
+    """Order count and spend before each snapshot by repeating every order for all later snapshots.
 
-    Each order meets every later snapshot, so the cost grows with their number;
-    the panel itself uses the running form.
+    The direct form the panel is checked against: its cost grows with the
+    number of snapshots, so the panel itself uses the running form.
     """
-    dates = t["orders"].sparkSession.createDataFrame([(d,) for d in calendar.dates], "snapshot_date timestamp_ntz")
+    following = F.sequence(calendar.index_of_next(F.col("order_date")), F.lit(len(calendar.dates)))
     return (
         t["orders"]
-        .select("user_id", "order_date", "total_amount")
-        .join(F.broadcast(dates), F.col("order_date") < F.col("snapshot_date"))
-        .groupBy("user_id", "snapshot_date")
+        .select("user_id", "total_amount", F.explode(following).alias("snapshot_no"))
+        .groupBy("user_id", "snapshot_no")
         .agg(F.count(F.lit(1)).alias("order_count"), F.sum("total_amount").alias("total_spend"))
+        .select("user_id", calendar.date_at(F.col("snapshot_no")).alias("snapshot_date"), "order_count", "total_spend")
     )
 
 

@@ -15,6 +15,7 @@ from tallyback.operators.joins import (
     owner_mismatches,
     reviews_with_status,
 )
+from tallyback.operators.quantiles import exact_quantile
 from tallyback.operators.ranks import global_row_number, row_number_by_day
 from tallyback.operators.sizing import settle
 from tallyback.sources.tables import Tables, union_all
@@ -414,22 +415,16 @@ def association_tests(t: Tables, mart: DataFrame) -> DataFrame:
 
 
 def review_summary(t: Tables) -> DataFrame:
-    """Per return status: review rows, orders, mean, count and exact median rating.
-
-    The ratings of a status collapse to (rating, rows) before the median is
-    read off the running count: ratings have few distinct values.
-    """
+    """Per return status: review rows, orders, mean, count and exact median rating."""
     reviews = reviews_with_status(t)
     basics = reviews.groupBy("return_status").agg(
-        F.count(F.lit(1)).alias("review_rows"),
-        F.avg("rating").alias("avg_rating"),
-        F.count("rating").alias("rating_count"),
-        F.median("rating").alias("median_rating"),
+        F.count(F.lit(1)).alias("review_rows"), F.avg("rating").alias("avg_rating"), F.count("rating").alias("rating_count")
     )
     order_counts = reviews.select("return_status", "order_id").distinct().groupBy("return_status").agg(
         F.count("order_id").alias("orders_with_review")
     )
-    return basics.join(order_counts, "return_status").select(
+    medians = exact_quantile(reviews, F.col("rating"), 0.5, ["return_status"], "median_rating")
+    return basics.join(order_counts, "return_status").join(medians, "return_status", "left").select(
         "return_status", "review_rows", "orders_with_review", "avg_rating", "rating_count", "median_rating"
     )
 

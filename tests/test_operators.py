@@ -39,7 +39,9 @@ def test_total_before_matches_running_sum(spark, rng):
 def test_percent_ranks_average_ties(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", 3.0), ("e", None)], "k string, v double")
     got = {r.k: r.p for r in percent_ranks(df, ["k"], {"p": F.col("v")}).collect()}
-    assert got == {"a": 0.25, "b": 0.625, "c": 0.625, "d": 1.0}
+    assert got == {"a": 0.25, "b": 0.625, "c": 0.625, "d": 1.0, "e": None}
+    twice = percent_ranks(df.unionByName(df), ["k"], {"p": F.col("v")})
+    assert twice.count() == 10  # repeated keys keep their rows
 
 
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.98, 1.0])
