@@ -81,7 +81,7 @@ def _resampled(resample):
     return run
 
 
-def _feature_pipeline(t):
+def _feature_encoding(t):
     prepared = M.prepare_returns(R.order_mart(t))
     values = prepared.train.unionByName(prepared.test).select("part", M.vector_to_array("features").alias("v"))
     return values.groupBy("part").agg(
@@ -196,7 +196,7 @@ MONEY = ("total_spend", "value", "item_total_sum", "flagged_order_value", "histo
 
 QUERIES: dict[str, Query] = {
     "stratified_split": on_tables(_split),
-    "feature_pipeline": on_tables(_feature_pipeline),
+    "feature_encoding": on_tables(_feature_encoding),
     "balanced_downsample": on_tables(_resampled(M.balanced_downsample)),
     "balanced_oversample": on_tables(_resampled(M.balanced_oversample)),
     "clf_logistic": on_tables(_return_model("Logistic regression")),
