@@ -18,7 +18,6 @@ from tallyback.plans import decisions as D
 from tallyback.plans import models as M
 from tallyback.plans import retention as N
 from tallyback.plans import returns as R
-from tallyback.sources.tables import union_all
 
 TREES, ROUNDS, FOREST_TREES = 40, 20, 100
 REACH, MIN_POINTS = 0.9, 15  # density clustering of the study
