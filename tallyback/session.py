@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +27,9 @@ def get_session(app_name: str = "tallyback", conf: dict[str, str] | None = None)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taking it from the session when it is set.
 
-    A cluster must name a shared folder in ``spark.checkpoint.dir``: a folder on
-    one machine is lost with that machine. Only a local master falls back to a
-    temporary folder.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Where that is
+    unset, as in tests, the session's warehouse folder is used on any master:
+    the one other place that driver and executors share.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -38,20 +37,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tallyback-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+# Ends a statement by deleting its own shuffle files, instead of whenever the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from that table.
 
     Unlike recomputed lineage the table survives lost executors, and unlike a
     checkpointed row set it is compressed, its columns can be pruned, and its
-    size is known to the planner.
+    size is known to the planner. The shuffle files behind it go as soon as it
+    is written; ``release`` deletes the table itself.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut_lineage`` that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "kept_at", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
