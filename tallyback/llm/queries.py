@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from tallyback.llm import sql
+from tallyback.llm.bpe import encode_texts
+from tallyback.llm.fingerprints import compare_edited_and_next
+from tallyback.llm.mixing import mix_sources
+from tallyback.llm.pu_quality import score_quality
 from tallyback.llm.substring_suffix import remove_repeated_bytes
 
 
@@ -20,10 +26,39 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), threshold=0.3)
+
+
+def op6_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mix_sources(documents(spark, folder), weights=(1, 2, 3), repeat_limit=3)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_edited_and_next(documents(spark, folder)).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = encode_texts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_pu_quality": op4_pu_quality,
+    "op6_fair_mix": op6_fair_mix,
+    "op9_weighted_fingerprints": op9_weighted_fingerprints,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL = {
     "op1_suffix_dedup": sql.OP1,
+    "op6_fair_mix": sql.OP6,
 }

@@ -26,3 +26,36 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN heads USING (doc_id)
 """
+
+# Sources, their targets and every document's place in the queue of its source.
+_MIX = r"""
+sized AS (
+  SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM {docs}
+), s AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS rank, source_size,
+         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)
+), steps AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER before, 0)) * 1.0::DOUBLE
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM s WINDOW before AS (ORDER BY source_size * 3.0::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), filled AS (
+  SELECT level FROM steps WHERE source_size * 3.0::DOUBLE >= weight * level ORDER BY source_size * 3.0::DOUBLE / weight, rank LIMIT 1
+), targets AS (
+  SELECT source, rank, source_size, least(source_size * 3.0::DOUBLE, weight * (SELECT level FROM filled)) AS target FROM s
+), queued AS (
+  SELECT doc_id, text, rank, source_size, target, size, md5(CAST(doc_id AS VARCHAR)) AS shuffle,
+         sum(size) OVER (PARTITION BY rank ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) AS ends
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source WHERE size > 0
+), entries AS (
+  SELECT *, (lap * source_size + ends) / target AS finish FROM queued, (SELECT unnest([0, 1, 2]) AS lap)
+), mixed AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, lap, shuffle, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM entries
+), copies AS (
+  SELECT doc_id, count(*) AS copies FROM mixed WHERE used <= (SELECT sum(size) FROM sized) GROUP BY doc_id
+)"""
+
+OP6 = "WITH " + _MIX.replace("{docs}", "documents") + """
+SELECT doc_id, size, source_size, target, CAST(coalesce(copies, 0) * size AS BIGINT) AS taken
+FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source LEFT JOIN copies USING (doc_id)
+"""
