@@ -11,8 +11,11 @@ from tallyback.llm import sql
 from tallyback.llm.bpe import encode_texts
 from tallyback.llm.fingerprints import compare_edited_and_next
 from tallyback.llm.mixing import mix_sources
+from tallyback.llm.ngram_join import ngram_components
 from tallyback.llm.pu_quality import score_quality
+from tallyback.llm.substring_kmer import remove_repeated_words
 from tallyback.llm.substring_suffix import remove_repeated_bytes
+from tallyback.llm.vector_neighbours import near_duplicate_vectors
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,15 +29,28 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_ngram_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(documents(spark, folder), size=5, percent=80)
+
+
 def op4_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), threshold=0.3)
 
 
+def op5_quantised_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), cosine=0.93)
+
+
 def op6_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     mix = mix_sources(documents(spark, folder), weights=(1, 2, 3), repeat_limit=3)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeated_words(documents(spark, folder), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_edited_and_next(documents(spark, folder)).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -52,13 +68,18 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_ngram_tree_join": op2_ngram_tree_join,
     "op4_pu_quality": op4_pu_quality,
+    "op5_quantised_vectors": op5_quantised_vectors,
     "op6_fair_mix": op6_fair_mix,
+    "op7_super_kmers": op7_super_kmers,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL = {
     "op1_suffix_dedup": sql.OP1,
+    "op2_ngram_tree_join": sql.OP2,
     "op6_fair_mix": sql.OP6,
+    "op7_super_kmers": sql.OP7,
 }

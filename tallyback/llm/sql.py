@@ -59,3 +59,49 @@ OP6 = "WITH " + _MIX.replace("{docs}", "documents") + """
 SELECT doc_id, size, source_size, target, CAST(coalesce(copies, 0) * size AS BIGINT) AS taken
 FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source LEFT JOIN copies USING (doc_id)
 """
+
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# Sets of 5-word shingles and the components of links at a Jaccard similarity of 0.8, over {docs}.
+_NEAR = r"""
+lists AS (
+  SELECT doc_id, {words} AS w FROM {docs}
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM lists
+), sets AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN sets sa ON sa.doc_id = a.doc_id JOIN sets sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, sa.n, sb.n HAVING 100 * count(*) >= 80 * (sa.n + sb.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM {docs} UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), roots AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)""".replace("{words}", _WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"))
+
+OP2 = "WITH RECURSIVE " + _NEAR.replace("{docs}", "documents") + """
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM roots LEFT JOIN sets USING (doc_id)
+"""
+
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, {words} AS w FROM documents
+), v AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 35], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 34, 0))) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS k FROM v) WHERE k > 1
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM again
+), each AS (
+  SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM each ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""".replace("{words}", _WORDS.format("coalesce(text, '')"))
