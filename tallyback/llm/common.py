@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyback.session import cut_lineage, release
 
@@ -22,7 +23,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply ``step`` to every Arrow batch of ``df``; each batch is handled on its own."""
 
     def run(batches):

@@ -100,3 +100,15 @@ def mix_sources(
         "d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (copies * F.col("d.size")).alias("taken"),
         copies.alias("copies"), "d.text_key",
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
+    mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).filter("copies > 0")
+    times = mix.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
+    same = (
+        F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_key"))
+        & F.col(f"`{source_col}`").eqNullSafe(F.col("_source"))
+    )
+    repeated = docs.join(times, same).withColumn("_lap", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -211,3 +211,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     scored = arrow_map(texts, step, "doc_id long, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they are; null and empty texts are scored like others."""
+    net = train(document_texts(docs, id_col, text_col), labels)
+    at = docs.columns.index(text_col)
+
+    def step(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(net.score(text_features(texts_of(batch.column(at)))) >= threshold))
+
+    return arrow_map(docs, step, docs.schema)

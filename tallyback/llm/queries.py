@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 
 from tallyback.llm import sql
 from tallyback.llm.bpe import encode_texts
 from tallyback.llm.fingerprints import compare_edited_and_next
+from tallyback.llm.line_dedup import remove_widespread_lines
 from tallyback.llm.mixing import mix_sources
 from tallyback.llm.ngram_join import ngram_components
+from tallyback.llm.preferences import format_preferences
 from tallyback.llm.pu_quality import score_quality
 from tallyback.llm.substring_kmer import remove_repeated_words
 from tallyback.llm.substring_suffix import remove_repeated_bytes
 from tallyback.llm.vector_neighbours import near_duplicate_vectors
+from tallyback.operators.ranks import global_row_number
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +37,11 @@ def op2_ngram_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(documents(spark, folder), size=5, percent=80)
 
 
+def op3_site_spread_lines(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_widespread_lines(documents(spark, folder), min_sites=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), threshold=0.3)
 
@@ -51,6 +60,25 @@ def op7_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation is the chosen one; rejected is the same with its last reply taken from the next conversation.
+
+    Next is the next larger conv_id, after the last the first. Where there is no reply to exchange, both are equal.
+    """
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    last = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
+    talks = global_row_number(turns.groupBy("pair_id").agg(F.max(last).alias("last")), [F.col("pair_id")], "place")
+    end = talks.agg(F.max("place")).first()[0] or 1
+    following = talks.select(F.pmod(F.col("place") - 2, F.lit(end)).alias("before"), F.col("last.text").alias("other"))
+    swap = talks.join(following, F.col("place") - 1 == F.col("before")).select("pair_id", F.col("last.turn").alias("swapped"), "other")
+    exchanged = (F.col("turn") == F.col("swapped")) & (F.col("role") == "assistant") & F.col("other").isNotNull()
+    rejected = turns.join(swap, "pair_id").select("pair_id", "turn", "role", F.when(exchanged, F.col("other")).otherwise(F.col("text")).alias("text"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return format_preferences(turns, rejected).select(
+        "pair_id", "n_common", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans")
+    )
+
+
 def op9_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_edited_and_next(documents(spark, folder)).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -69,17 +97,23 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_tree_join": op2_ngram_tree_join,
+    "op3_site_spread_lines": op3_site_spread_lines,
     "op4_pu_quality": op4_pu_quality,
     "op5_quantised_vectors": op5_quantised_vectors,
     "op6_fair_mix": op6_fair_mix,
     "op7_super_kmers": op7_super_kmers,
+    "op8_preference_format": op8_preference_format,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op1_suffix_dedup": sql.OP1,
     "op2_ngram_tree_join": sql.OP2,
+    "op3_site_spread_lines": sql.OP3,
     "op6_fair_mix": sql.OP6,
     "op7_super_kmers": sql.OP7,
+    "op8_preference_format": sql.OP8,
+    "pipeline": corpus_pipeline.ORACLE_SQL,
 }

@@ -105,3 +105,55 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """.replace("{words}", _WORDS.format("coalesce(text, '')"))
+
+OP3 = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents
+), k AS (
+  SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l
+), wide AS (
+  SELECT bare FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 5
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM k ANTI JOIN wide USING (bare) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lines.n, 0) - coalesce(kept.n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN lines USING (doc_id)
+"""
+
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), lasts AS (
+  SELECT conv_id, max(turn) FILTER (role = 'assistant') AS turn, arg_max(text, turn) FILTER (role = 'assistant') AS text FROM t GROUP BY conv_id
+), swaps AS (
+  SELECT conv_id, turn, coalesce(lead(text) OVER (ORDER BY conv_id), CASE WHEN lead(conv_id) OVER (ORDER BY conv_id) IS NULL
+         THEN first_value(text) OVER (ORDER BY conv_id) END) AS other FROM lasts
+), sides AS (
+  SELECT 'chosen' AS side, conv_id, turn, role, text FROM t
+  UNION ALL
+  SELECT 'rejected', t.conv_id, t.turn, t.role, CASE WHEN t.turn = s.turn AND t.role = 'assistant' AND other IS NOT NULL THEN other ELSE t.text END
+  FROM t JOIN swaps s ON t.conv_id = s.conv_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS i,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM sides
+), common AS (
+  SELECT c.conv_id, coalesce(min(c.i) FILTER (c.role <> r.role OR c.text <> r.text) - 1, count(*)) AS n_common
+  FROM placed c JOIN placed r ON c.side = 'chosen' AND r.side = 'rejected' AND c.conv_id = r.conv_id AND c.i = r.i GROUP BY c.conv_id
+), done AS (
+  SELECT p.*, n_common, sum(length(shown)) OVER (PARTITION BY side, p.conv_id ORDER BY i) - length(shown) + length(role) + 5 AS s
+  FROM placed p JOIN common USING (conv_id) WHERE i > n_common
+), ends AS (
+  SELECT side, conv_id, string_agg(shown, '' ORDER BY i) AS text,
+         string_agg(CAST(s AS BIGINT) || '-' || CAST(s + length(done.text) + 7 AS BIGINT), ',' ORDER BY i) FILTER (role = 'assistant') AS spans
+  FROM done GROUP BY side, conv_id
+), prompts AS (
+  SELECT conv_id, string_agg(shown, '' ORDER BY i) AS prompt FROM placed JOIN common USING (conv_id) WHERE side = 'chosen' AND i <= n_common GROUP BY conv_id
+)
+SELECT common.conv_id AS pair_id, CAST(n_common AS BIGINT) AS n_common, coalesce(prompt, '') AS prompt, coalesce(c.text, '') AS chosen,
+       coalesce(r.text, '') AS rejected, coalesce(c.spans, '') AS chosen_spans, coalesce(r.spans, '') AS rejected_spans
+FROM common LEFT JOIN prompts USING (conv_id) LEFT JOIN ends c ON c.conv_id = common.conv_id AND c.side = 'chosen'
+LEFT JOIN ends r ON r.conv_id = common.conv_id AND r.side = 'rejected'
+"""
