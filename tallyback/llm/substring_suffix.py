@@ -4,33 +4,36 @@ A suffix is ordered only through ``length`` bytes, most significant digit first;
 that are equal through that depth are exactly the repeated windows. Three passes:
 
 1. The leading digit. Suffixes are taken in families: consecutive suffixes whose first
-   ``length`` bytes hold the same anchor, the leftmost ``GRAM``-byte gram with the
+   ``length`` bytes hold the same anchor, the leftmost ``gram``-byte gram with the
    smallest hash. Equal windows have equal anchors at the same place, so the anchor is
-   a digit that all of a family share, and only one short row per family (about one
-   per 40 bytes) is shuffled instead of one per byte. A family alone with its digit is unique and leaves.
-2. The rest of the family's bytes as one digit. Where all families of a group are equal,
-   all their suffixes are, and the earliest family is the one that stays.
-3. The remaining groups hold families that are equal only in part. One representative
-   per distinct family goes on; its suffixes are ordered one by one at full depth
-   (128-bit digit), and the earliest of each equal group stays.
-
-Groups are never gathered: every pass is an aggregate with map-side minima and a join on
-the digit, which adaptive execution splits when a digit is frequent.
+   a digit that all of a family share, and one short row per family (some 30 bytes of
+   text) is shuffled instead of one per byte. A family alone with its digit is unique and leaves.
+2. The rest of the family's bytes as one digit. Families equal in it are equal in all their
+   suffixes: the first one represents them, all others are repeats of it.
+3. Digits with several different families. Their bytes travel once to the digit's task, where the suffixes are radix
+   sorted, eight bytes a pass, and leave as soon as they stand alone. The few digits with more than
+   ``crowd`` different families are not gathered: their suffixes go on one by one under a
+   128-bit digit of full depth, in an aggregate with map-side minima.
+
+Passes 1 and 2 are aggregates with map-side combination and joins on the digit, which adaptive
+execution splits where a digit is frequent.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyback.llm.common import arrow_map, cut_lineage, document_texts, release
-from tallyback.llm.text import Rolling, byte_values, chunks, concat_ranges, signed, texts_of, window_families
+from tallyback.llm.families import FAMILY, distinct_families, merged, runs_of, shared_families, whole_groups
+from tallyback.llm.text import U64, Rolling, byte_values, chunks, concat_ranges, signed, texts_of, window_families
+
+GRAM = 40  # bytes of an anchor; shorter anchors meet by chance, longer ones make more families
+CROWD = 1024  # different families of one digit that are sorted in one task, some 150 KB of bytes
 
-GRAM = 16  # bytes of an anchor; shorter anchors would be frequent by chance, longer ones make more families
+_PACKED = "crowded boolean, k1 long, k2 long, doc_id long, at long, n int, bytes binary"
 
 
 def _families(length: int, gram: int):
@@ -47,75 +50,123 @@ def _families(length: int, gram: int):
     return step
 
 
-def _suffixes(length: int):
-    """Suffixes of the marked families, one row each, with the 128-bit digit of their first ``length`` bytes."""
+def _pack(length: int):
+    """Bytes of the marked families; those of crowded digits as one row per suffix with its digit of full depth."""
+
+    def rows(crowded, k1, k2, doc, at, n, packed):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(doc), crowded)), pa.array(k1), pa.array(k2), pa.array(doc), pa.array(at),
+             pa.array(n.astype(np.int32)), packed],
+            ["crowded", "k1", "k2", "doc_id", "at", "n", "bytes"],
+        )
 
     def step(batch: pa.RecordBatch):
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
-        spans = batch.column(2)
-        inner = spans.flatten()
-        at, n = inner.field(0).to_numpy(zero_copy_only=False), inner.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, texts, marks = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1)), batch.column(2)
+        inner = marks.flatten()
+        digit, at, n, crowd = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        at, n = at.astype(np.int64), n.astype(np.int64)
         cut = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False), out=cut[1:])
+        np.cumsum(marks.value_lengths().to_numpy(zero_copy_only=False), out=cut[1:])
         for row0, row1, data, bounds in chunks(texts):
-            part = slice(cut[row0], cut[row1])
+            own = np.arange(cut[row0], cut[row1])
             row = np.repeat(np.arange(row1 - row0), np.diff(cut[row0 : row1 + 1]))
-            pos = concat_ranges(at[part], n[part])
-            row = np.repeat(row, n[part])
-            start = pos + bounds[row]
-            digits = [Rolling(byte_values(data, which), which).ranges(start, start + length) for which in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row0:row1][row]), pa.array(pos), pa.array(signed(digits[0])), pa.array(signed(digits[1]))],
-                ["doc_id", "at", "d1", "d2"],
-            )
+            for crowded in (False, True):
+                mine = crowd[own] == crowded
+                f, r = own[mine], row[mine]
+                if len(f) == 0:
+                    continue
+                if not crowded:
+                    size = n[f] - 1 + length
+                    taken = data[concat_ranges(at[f] + bounds[r], size)]
+                    offsets = np.zeros(len(f) + 1, np.int32)
+                    np.cumsum(size, out=offsets[1:])
+                    packed = pa.BinaryArray.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+                    yield rows(False, digit[f], np.zeros(len(f), np.int64), ids[row0:row1][r], at[f], n[f], packed)
+                else:
+                    pos, r = concat_ranges(at[f], n[f]), np.repeat(r, n[f])
+                    start = pos + bounds[r]
+                    k1, k2 = (signed(Rolling(byte_values(data, w), w).ranges(start, start + length)) for w in (0, 1))
+                    yield rows(True, k1, k2, ids[row0:row1][r], pos, np.ones(len(pos)), pa.nulls(len(pos), pa.binary()))
 
     return step
 
 
-def repeated_byte_runs(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
+def equal_suffixes(group: np.ndarray, data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Radix sort of suffixes within groups, through ``length`` bytes, most significant eight first.
+
+    Returns the suffixes (as positions in ``start``) that equal another of their group, and for each the number
+    of its equal group. A suffix that stands alone after a pass takes no part in the next.
+    """
+    index = np.arange(len(start))
+    padded = np.append(data, np.zeros(8, np.uint8)).astype(U64)
+    digits = np.zeros(len(data) + 1, U64)
+    for i in range(8):
+        digits |= padded[i : i + len(digits)] << U64(56 - 8 * i)
+    for depth in range(0, length, 8):
+        digit = digits[start[index] + depth]
+        if length - depth < 8:
+            digit = digit >> U64(8 * (8 - length + depth))
+        order = np.lexsort((digit, group))
+        digit, group, index = digit[order], group[order], index[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])) if len(index) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, minlength=1)[group] > 1
+        group, index = group[several], index[several]
+    return index, group
+
+
+def _sort_bucket(length: int):
+    def run(batches):
+        for table in whole_groups(batches):
+            table = table.combine_chunks()
+            digit, doc, at, n = (table.column(i).to_numpy() for i in range(4))
+            packed = table.column(4).combine_chunks()
+            offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+            data = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            family = np.repeat(np.arange(len(digit)), n)
+            start = concat_ranges(offsets[:-1] - offsets[0], n.astype(np.int64))
+            place = concat_ranges(at, n.astype(np.int64))
+            groups = np.cumsum(np.append(True, digit[1:] != digit[:-1])) - 1
+            index, equal = equal_suffixes(groups[family], data, start, length)
+            owner, place = doc[family[index]], place[index]
+            order = np.lexsort((place, owner, equal))
+            later = order[1:][equal[order][1:] == equal[order][:-1]]  # all of an equal group but the earliest
+            d, a, c = runs_of(owner[later], place[later])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(c.astype(np.int32))], ["doc_id", "at", "n"])
+
+    return run
+
+
+def repeated_byte_runs(docs: DataFrame, length: int = 100, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Byte ranges (doc_id, start, end) covered by a ``length``-byte string that also starts earlier.
 
     Earlier: in a row with a smaller doc_id, or at a smaller start of the same one. Ranges of one
     document may overlap. Expects the columns doc_id (unique, not null) and text; see ``remove_repeated_bytes``.
     """
-    families = cut_lineage(arrow_map(docs, _families(length, gram), "doc_id long, at long, n int, digit long, whole long"))
-    place = F.struct("doc_id", "at")
-    groups = families.groupBy("digit").agg(
-        F.count(F.lit(1)).alias("size"), F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.min(place).alias("first")
+    gram = min(gram, length)
+    shared = shared_families(arrow_map(docs, _families(length, gram), FAMILY))
+    firsts = distinct_families(shared)
+    first = firsts.filter("copies > 1").select("digit", "whole", F.struct("doc_id", "at").alias("first"))
+    copies = shared.join(first, ["digit", "whole"]).filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "n")
+
+    unlike = firsts.filter("kinds > 1").groupBy("doc_id").agg(
+        F.collect_list(F.struct("digit", "at", "n", (F.col("kinds") > crowd).alias("crowded"))).alias("marks")
     )
-    shared = cut_lineage(
-        families.join(groups.filter("size > 1"), "digit")
-        .select("doc_id", "at", "n", "digit", "whole", (F.col("lo") == F.col("hi")).alias("equal"), "first")
-    )
-    release(families)
-    settled = shared.filter("equal").filter(place != F.col("first")).select("doc_id", "at", "n")
-
-    mixed = shared.filter("NOT equal")
-    firsts = mixed.groupBy("digit", "whole").agg(F.min(place).alias("own_first"))
-    marked = cut_lineage(
-        mixed.drop("first").join(firsts, ["digit", "whole"]).select("doc_id", "at", "n", (place == F.col("own_first")).alias("rep"))
-    )
-    copies = marked.filter("NOT rep").select("doc_id", "at", "n")
-    reps = marked.filter("rep").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    suffixes = cut_lineage(
-        arrow_map(docs.join(reps, "doc_id").select("doc_id", "text", "spans"), _suffixes(length), "doc_id long, at long, d1 long, d2 long")
-    )
-    equal = suffixes.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("first")).filter("size > 1")
-    later = suffixes.join(equal, ["d1", "d2"]).filter(place != F.col("first")).select("doc_id", "at", F.lit(1).alias("n"))
-    runs = settled.union(copies).union(later).select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
-    kept = cut_lineage(runs)
-    release(shared, marked, suffixes)
-    return kept
-
-
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of ranges as maximal runs, in order; touching ranges become one."""
-    order = np.argsort(start, kind="stable")
-    start, reach = start[order], np.maximum.accumulate(end[order])
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > reach[:-1]
-    first = np.flatnonzero(new)
-    return start[first], reach[np.append(first[1:], len(start)) - 1]
+    packed = cut_lineage(arrow_map(docs.join(unlike, "doc_id").select("doc_id", "text", "marks"), _pack(length), _PACKED))
+    sorted_here = (
+        packed.filter("NOT crowded").select(F.col("k1").alias("digit"), "doc_id", "at", "n", "bytes")
+        .repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_bucket(length), "doc_id long, at long, n int")
+    )
+    single = packed.filter("crowded").select("k1", "k2", "doc_id", "at", "n")
+    place = F.struct("doc_id", "at")
+    equal = single.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("first")).filter("size > 1")
+    later = single.join(equal, ["k1", "k2"]).filter(place != F.col("first")).select("doc_id", "at", "n")
+    runs = cut_lineage(
+        copies.union(sorted_here).union(later)
+        .select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
+    )
+    release(shared, firsts, packed)
+    return runs
 
 
 def _cut(batch: pa.RecordBatch):
@@ -164,7 +215,3 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
         _cut,
         "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary",
     )
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
