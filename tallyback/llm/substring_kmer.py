@@ -144,12 +144,10 @@ def repeated_word_runs(docs: DataFrame, window: int = 35, gram: int = GRAM, crow
     single = packed.filter("crowded").select("k1", "k2", "doc_id", "at", "n", "known")
     again = single.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     one_by_one = single.filter("NOT known").join(again, ["k1", "k2"]).select("doc_id", "at", "n")
-    runs = cut_lineage(
-        copies.union(in_buckets).union(one_by_one)
-        .select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + window).alias("end"))
-    )
+    parts = [cut_lineage(part) for part in (copies, in_buckets, one_by_one)]
     release(shared, firsts, packed)
-    return runs
+    runs = parts[0].union(parts[1]).union(parts[2])
+    return runs.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + window).alias("end"))
 
 
 def _cut(batch: pa.RecordBatch):
