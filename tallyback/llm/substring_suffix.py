@@ -161,12 +161,10 @@ def repeated_byte_runs(docs: DataFrame, length: int = 100, gram: int = GRAM, cro
     place = F.struct("doc_id", "at")
     equal = single.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("first")).filter("size > 1")
     later = single.join(equal, ["k1", "k2"]).filter(place != F.col("first")).select("doc_id", "at", "n")
-    runs = cut_lineage(
-        copies.union(sorted_here).union(later)
-        .select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
-    )
+    parts = [cut_lineage(part) for part in (copies, sorted_here, later)]
     release(shared, firsts, packed)
-    return runs
+    runs = parts[0].union(parts[1]).union(parts[2])
+    return runs.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
 
 
 def _cut(batch: pa.RecordBatch):
