@@ -117,7 +117,7 @@ def with_successor(docs: DataFrame) -> tuple[DataFrame, int]:
     heads = sliced.groupBy("slice").agg(F.min("place").alias("head"))
     ring = Window.orderBy("slice")
     heads = heads.select("head", F.coalesce(F.lag("slice").over(ring), F.max("slice").over(Window.partitionBy())).alias("host")).collect()
-    hosts = F.create_map(*[F.lit(x) for row in heads for x in (row.head, row.host)]) if heads else F.create_map().cast("map<bigint,int>")
+    hosts = F.create_map(*[x for row in heads for x in (F.lit(row.head).cast("long"), F.lit(row.host))]) if heads else F.create_map().cast("map<bigint,int>")
     targets = F.array_compact(
         F.array(
             F.struct("slice", F.lit(False).alias("guest")),
