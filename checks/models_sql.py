@@ -15,7 +15,7 @@ mads AS (SELECT {_mads} FROM feat, meds),
 flags AS (SELECT order_id, item_total_sum, CASE WHEN {_flag} > 3.5 THEN 1 ELSE 0 END AS review_flag FROM feat, mads),
 uf AS (
   SELECT o.user_id, sum(review_flag) AS flagged_orders, count(*) AS orders_reviewed,
-         coalesce(sum(item_total_sum), 0) AS flagged_order_value, sum(review_flag) * 1.0 / count(*) AS flagged_order_rate
+         coalesce(sum(item_total_sum) FILTER (review_flag = 1), 0) AS flagged_order_value, sum(review_flag) * 1.0 / count(*) AS flagged_order_rate
   FROM flags JOIN r_orders o USING (order_id) GROUP BY o.user_id)
 """
 

@@ -19,7 +19,7 @@ from tallyback.plans import models as M
 from tallyback.plans import retention as N
 from tallyback.plans import returns as R
 
-TREES, ROUNDS, FOREST_TREES = 40, 20, 100
+TREES, ROUNDS, FOREST_TREES = 40, 20, 300
 REACH, MIN_POINTS = 0.9, 15  # density clustering of the study
 
 

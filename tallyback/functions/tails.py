@@ -23,6 +23,8 @@ def gamma_upper_tail(shape: float, x: float) -> float:
             total += term
             if term < total * 1e-16:
                 break
+        else:
+            raise ArithmeticError(f"series for shape {shape} and {x} did not settle")
         return max(0.0, 1.0 - total * scale)
     b = x + 1 - shape
     c, d = 1 / _TINY, 1 / b
@@ -37,6 +39,8 @@ def gamma_upper_tail(shape: float, x: float) -> float:
         h *= d * c
         if abs(d * c - 1) < 1e-15:
             break
+    else:
+        raise ArithmeticError(f"continued fraction for shape {shape} and {x} did not settle")
     return scale * h
 
 
@@ -75,6 +79,8 @@ def beta_lower_tail(a: float, b: float, x: float) -> float:
             h *= d * c
         if abs(d * c - 1) < 1e-15:
             break
+    else:
+        raise ArithmeticError(f"continued fraction for {a}, {b} and {x} did not settle")
     return front * h
 
 

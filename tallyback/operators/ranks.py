@@ -85,7 +85,9 @@ def row_number_by_day(df: DataFrame, group: str, ts: str, tie: str, out: str) ->
     per_day = dated.groupBy(group, "_day").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(group).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     shifts = per_day.select(group, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(group, "_day").orderBy(F.col(ts).asc_nulls_last(), F.col(tie))
+    # Rows without a group get no number; their tie-breaker spreads them instead of one task sorting them all.
+    apart = F.when(F.col(group).isNull(), F.xxhash64(tie))
+    inside = Window.partitionBy(group, "_day", apart).orderBy(F.col(ts).asc_nulls_last(), F.col(tie))
     return (
         dated.withColumn("_rn", F.row_number().over(inside))
         .join(shifts, [group, "_day"], "left")
@@ -95,10 +97,11 @@ def row_number_by_day(df: DataFrame, group: str, ts: str, tie: str, out: str) ->
 
 
 def first_row_per_key(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
-    """Keep the first row per key by an explicit order, as a mergeable minimum instead of a window.
+    """Keep the first row per key by an explicit order, nulls last, as a mergeable minimum instead of a window.
 
     Copies of a hot key collapse on the map side, so no task sees them all.
     """
     rest = [c for c in df.columns if c != key and c not in order_by]
-    first = F.min(F.struct(*[F.col(c) for c in order_by + rest])).alias("_first")
-    return df.groupBy(key).agg(first).select(key, "_first.*").select(*df.columns)
+    ordered = [x for c in order_by + rest for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    first = df.groupBy(key).agg(F.min(F.struct(*ordered)).alias("_first"))
+    return first.select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])

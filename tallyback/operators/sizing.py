@@ -1,21 +1,12 @@
-"""Broadcast only what has been measured."""
+"""Let the planner choose a join by measured size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyback.session import cut_lineage
 
-# Rows up to which a measured side is sent whole to every executor.
-BROADCAST_ROW_LIMIT = 200_000
 
-
-def settle(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Materialise an aggregate once, count it, and mark it for broadcast only when it is small.
-
-    Above the limit the frame is returned without a hint and the join shuffles as usual.
-    Meant for narrow frames (a key and a few numbers).
-    """
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= row_limit else kept
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise an aggregate once. The written table has a known size in bytes, by which the planner broadcasts it or not."""
+    return cut_lineage(df)

@@ -119,7 +119,7 @@ def user_flag_rates(queue: DataFrame) -> DataFrame:
     per_user = queue.groupBy("user_id").agg(
         F.sum("review_flag").alias("flagged_orders"),
         F.count(F.lit(1)).alias("orders_reviewed"),
-        F.coalesce(F.sum("item_total_sum"), F.lit(0.0)).alias("flagged_order_value"),
+        F.coalesce(F.sum(F.when(F.col("review_flag") == 1, F.col("item_total_sum"))), F.lit(0.0)).alias("flagged_order_value"),
     )
     return per_user.withColumn("flagged_order_rate", C.ratio(F.col("flagged_orders").cast("double"), F.col("orders_reviewed")))
 

@@ -34,12 +34,12 @@ SEED = 42
 RETURN_NUMERIC = ["total_amount", "item_count", "units", "max_price", "avg_product_rating", "tenure_days", "order_sequence"]
 RETURN_CATEGORIES = ["dominant_category", "dominant_brand", "gender"]
 
-_BUCKETS = 1_000_000
+_GRAIN = 1 << 53  # as fine as a double can tell
 
 
 def hash_share(*keys: str, seed: int = SEED) -> Column:
     """A number in [0, 1) that depends only on the row's key: stable across runs and partitions."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(_BUCKETS)) / _BUCKETS
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(_GRAIN)) / F.lit(float(_GRAIN))
 
 
 # ---------------------------------------------------------------- splits, weights, resampling
@@ -152,7 +152,10 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def mixed_feature_pipeline(numeric: list[str], categories: list[str], out: str = "features") -> Pipeline:
-    """Median-imputed, standardised numbers next to one-hot categories; unseen levels become all zero."""
+    """Median-imputed, standardised numbers next to one-hot categories; unseen levels become all zero.
+
+    The indexer gives an unseen level the last index, which is the one the encoder drops.
+    """
     filled = [f"{c}_filled" for c in numeric]
     indexed, coded = [f"{c}_index" for c in categories], [f"{c}_onehot" for c in categories]
     return Pipeline(
@@ -161,7 +164,7 @@ def mixed_feature_pipeline(numeric: list[str], categories: list[str], out: str =
             VectorAssembler(inputCols=filled, outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
             StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="keep", dropLast=True),
+            OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="error", dropLast=True),
             VectorAssembler(inputCols=["scaled", *coded], outputCol=out),
         ]
     )
@@ -209,13 +212,13 @@ class Candidate:
     neighbours: int = 0
 
 
-# Spark ML trees need a depth; these trees were unbounded in the study, limited only by leaf size.
-DEEP = 12
+# These trees were unbounded in the study, limited only by leaf size; Spark ML allows a depth of 30.
+DEEP = 30
 
 
 def return_candidates() -> list[Candidate]:
     return [
-        Candidate("Logistic regression", lambda: LogisticRegression(maxIter=100, standardization=False), "weights"),
+        Candidate("Logistic regression", lambda: LogisticRegression(maxIter=1000, standardization=False), "weights"),
         Candidate("Decision tree", lambda: DecisionTreeClassifier(maxDepth=DEEP, minInstancesPerNode=10, seed=SEED), "weights"),
         Candidate("kNN", None, "downsample", neighbours=15),
         Candidate(
@@ -229,8 +232,8 @@ def return_candidates() -> list[Candidate]:
 
 def churn_candidates() -> list[Candidate]:
     return [
-        Candidate("Logistic L2", lambda: LogisticRegression(maxIter=100, standardization=False)),
-        Candidate("Logistic L1 balanced", lambda: LogisticRegression(maxIter=100, elasticNetParam=1.0, standardization=False), "weights"),
+        Candidate("Logistic L2", lambda: LogisticRegression(maxIter=1500, standardization=False)),
+        Candidate("Logistic L1 balanced", lambda: LogisticRegression(maxIter=1500, elasticNetParam=1.0, standardization=False), "weights"),
         Candidate("kNN", None, neighbours=25),
         Candidate("Decision tree balanced", lambda: DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=25, seed=SEED), "weights"),
         Candidate(
@@ -247,7 +250,7 @@ def churn_candidates() -> list[Candidate]:
         ),
         Candidate(
             "MLP balanced",
-            lambda: MultilayerPerceptronClassifier(layers=[len(FEATURES), 32, 16, 2], maxIter=200, seed=SEED),
+            lambda: MultilayerPerceptronClassifier(layers=[len(FEATURES), 32, 16, 2], maxIter=400, seed=SEED),
             "oversample",
         ),
     ]

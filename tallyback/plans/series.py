@@ -107,7 +107,8 @@ def moving_average(history: DataFrame, horizon: int, days: int = AVERAGE_DAYS) -
 def smoothing(history: DataFrame, horizon: int, models: list[str] | None = None) -> DataFrame:
     """Exponential smoothing forecasts, one task per (series, model).
 
-    A group holds one number per calendar day, whatever the size of the order table.
+    A group holds one number per calendar day, whatever the size of the order table. A series shorter than
+    two seasons has no forecast of a seasonal model.
     """
     names = models or list(SMOOTHERS)
     settings = {n: SMOOTHERS[n] for n in names}
@@ -116,6 +117,8 @@ def smoothing(history: DataFrame, horizon: int, models: list[str] | None = None)
         pdf = pdf.sort_values("day")
         name = pdf["model"].iloc[0]
         trend, seasonal = settings[name]
+        if seasonal and len(pdf) < 2 * SEASON:
+            return pd.DataFrame({"series": [], "day": [], "step": [], "model": [], "forecast": []})
         values = smooth_forecast(pdf["revenue"].to_numpy(), horizon, trend, seasonal)
         start = pd.Timestamp(pdf["day"].iloc[-1])
         return pd.DataFrame(

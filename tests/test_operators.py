@@ -73,6 +73,11 @@ def test_row_number_by_day_orders_nulls_last(spark):
     assert got == {"c": 1, "a": 2, "b": 3, "z": 4, "x": None}
 
 
+def test_first_row_per_key_puts_nulls_last(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("a", 3, None), ("a", 3, "w"), ("b", None, "z")], "k string, o int, v string")
+    assert {(r.k, r.o, r.v) for r in first_row_per_key(df, "k", ["o"]).collect()} == {("a", 3, "w"), ("b", None, "z")}
+
+
 def test_first_row_per_key_uses_explicit_order(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, o int, v string")
     assert {(r.k, r.o, r.v) for r in first_row_per_key(df, "k", ["o"]).collect()} == {("a", 1, "y"), ("b", 5, "z")}
