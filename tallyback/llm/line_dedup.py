@@ -25,7 +25,7 @@ def lines_of(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """128-bit hash of a line without the blanks around it; null for a line of blanks only, which is never boilerplate."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
     return F.when(F.length(bare) > 0, F.unhex(F.md5(bare.cast("binary"))))
 
 
@@ -62,9 +62,12 @@ def remove_widespread_lines(
     rest = docs.drop("n_lines", "n_dropped")
     text = F.col(f"`{text_col}`")
     row_key = F.unhex(F.md5(F.concat_ws("\n", F.col(f"`{id_col}`").cast("string"), text).cast("binary")))
-    lines = docs.filter(text.isNotNull()).select(
-        row_key.alias("row"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode(lines_of(text)).alias("pos", "line")
-    ).select("row", "site", "pos", line_key(F.col("line")).alias("key"))
+    # The row's key and its lines are made once per row, before the lines are laid out.
+    split = docs.filter(text.isNotNull()).select(
+        row_key.alias("row"), F.col(f"`{site_col}`").cast("string").alias("site"), lines_of(text).alias("lines")
+    )
+    lines = split.select("row", "site", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select("row", "site", "pos", line_key(F.col("line")).alias("key"))
     lines = cut_lineage(lines.filter("key IS NOT NULL"))
     common = widespread_lines(lines, min_sites)
     flagged = lines.join(common, "key").select("row", "pos").distinct()
