@@ -20,7 +20,11 @@ from tallyback.llm.common import document_texts, small_batches
 from tallyback.llm.text import U64, Rolling, byte_values, chunks, mix, texts_of, word_bounds
 
 SAMPLES = 128
+BLOCK = 128  # words whose draws are made together
+TEXT_BYTES = 8 << 20  # texts whose common words are drawn once
+SLOT_CHARS = 1 << 20  # documents of a slice that are compared together
 _24 = np.float32(2.0**-24)
+_ODD = U64(0x9E3779B97F4A7C15)
 
 
 def _unit(bits: np.ndarray) -> np.ndarray:
@@ -32,25 +36,33 @@ class Sampler:
     """Signatures of weighted word bags; ``samples`` draws of 16 bits each."""
 
     def __init__(self, samples: int = SAMPLES):
-        self._seeds = mix(np.arange(1, samples + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))[:, None]
+        self._seeds = mix(np.arange(1, samples + 1, dtype=U64) * _ODD)[None, :]
         self.samples = samples
 
     def draws(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per sample and weighted word: ln a and the step t."""
-        one = mix(words[None, :] ^ self._seeds)
+        """Per weighted word and sample: ln a and the step t. A few words at a time, so that their numbers stay in the cache."""
+        draws = np.empty((len(words), self.samples), np.float32)
+        steps = np.empty((len(words), self.samples), np.int32)
+        for at in range(0, len(words), BLOCK):
+            part = slice(at, at + BLOCK)
+            draws[part], steps[part] = self._draws(words[part], weights[part])
+        return draws, steps
+
+    def _draws(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one = mix(words[:, None] ^ self._seeds)
         two = mix(one + U64(0x632BE59BD9B4E019))
         low = U64(0xFFFFFF)
         r = -np.log(_unit(one >> U64(40)) * _unit(one >> U64(16) & low))
         c = -np.log(_unit(two >> U64(40)) * _unit(two >> U64(16) & low))
         b = _unit((one & U64(0xFFF)) << U64(12) | two & U64(0xFFF))
-        step = np.floor(np.log(weights.astype(np.float32))[None, :] / r + b)
+        step = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
         return np.log(c) - r * (step + np.float32(1) - b), step.astype(np.int32)
 
     def signatures(self, texts: pa.Array) -> np.ndarray:
         """One row of ``samples`` 16-bit numbers per text; a text without words has all zeros."""
         out = np.zeros((len(texts), self.samples), np.uint16)
         lane = np.arange(self.samples)
-        for row0, row1, data, bounds in chunks(texts):
+        for row0, row1, data, bounds in chunks(texts, TEXT_BYTES):
             starts, ends, firsts = word_bounds(data, bounds)
             if len(starts) == 0:
                 continue
@@ -60,16 +72,16 @@ class Sampler:
             words, row = words[order], row[order]
             new = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (row[1:] != row[:-1])))
             count = np.diff(np.append(new, len(words)))
-            pairs = np.empty(len(new), [("word", U64), ("count", np.int64)])
-            pairs["word"], pairs["count"] = words[new], count
-            distinct, at = np.unique(pairs, return_inverse=True)
-            cut = np.searchsorted(row[new], np.arange(row1 - row0 + 1))
-            draws, steps = self.draws(distinct["word"], distinct["count"])
+            words, row = words[new], row[new]
+            _, some, at = np.unique(mix(words + count.astype(U64) * _ODD), return_index=True, return_inverse=True)
+            cut = np.searchsorted(row, np.arange(row1 - row0 + 1))
+            draws, steps = self.draws(words[some], count[some])
+            words = words[some]
             for i in range(row1 - row0):
                 own = at[cut[i] : cut[i + 1]]
                 if len(own):
-                    best = own[np.take(draws, own, axis=1).argmin(axis=1)]
-                    tag = mix(distinct["word"][best] + steps[lane, best].astype(U64) * U64(0x9E3779B97F4A7C15))
+                    best = own[draws[own].argmin(axis=0)]
+                    tag = mix(words[best] + steps[best, lane].astype(U64) * _ODD)
                     out[row0 + i] = np.maximum(tag >> U64(48), U64(1)).astype(np.uint16)
         return out
 
@@ -154,11 +166,11 @@ def compare_edited_and_next(docs: DataFrame, samples: int = SAMPLES, id_col: str
         )
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        waiting, current, closed = [], None, False
+        waiting, current, closed, held = [], None, False, 0
         for batch in batches:
             for part, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if part != current:
-                    waiting, current, closed = [], part, False
+                    waiting, current, closed, held = [], part, False, 0
                 if closed:
                     continue  # further rows of the guest's doc_id
                 if guest:
@@ -166,9 +178,10 @@ def compare_edited_and_next(docs: DataFrame, samples: int = SAMPLES, id_col: str
                     waiting, closed = [], True
                     continue
                 waiting.append((doc_id, text))
-                if len(waiting) > 500:
+                held += len(text)
+                if held > SLOT_CHARS and len(waiting) > 1:
                     yield judged(waiting[:-1], waiting[-1])
-                    waiting = waiting[-1:]
+                    waiting, held = waiting[-1:], len(text)
 
     return small_batches(dealt.select("slice", "guest", "doc_id", "text")).mapInArrow(
         run,
