@@ -9,11 +9,12 @@ of it or of the set can't reach the overlap that is needed (remaining-length bou
 node of its first common n-gram; all others leave it at their first step. N-grams that only sets of one
 component have are left out of the lists first, and so are sets with too few others.
 
-* Equal sets are one class throughout. First every set is joined with the first set of its nodes, which
+* Equal sets are one class throughout. First every set is joined with the most typical set of its nodes, which
   connects groups of near copies by stars instead of pairs; nodes whose sets are then all of one
   component are cut off, and pairs within a component are never formed.
 * A node of more than ``crowd`` sets is cut into chunks; pairs of chunks go to different tasks.
-* Candidates are checked by a parity signature (an upper bound of the overlap), then on the whole texts.
+* A parity signature (an upper bound of the overlap) tells beforehand which sets of a node a set can match at all, and
+  only then is the trie built and traversed. Candidates are checked on the whole texts.
 
 Sets of up to HEAD n-grams are in the tree whole, so every pair at the threshold is found. For longer ones a
 pair must share ``SHARED`` of its HEAD smallest n-grams; a pair of similarity 0.8 shares 51 on average and
@@ -77,6 +78,38 @@ def _needed_of(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
+class Signatures:
+    """Parity signatures of a node's sets, compared one against all at once."""
+
+    def __init__(self, n: np.ndarray, signatures: list[bytes]):
+        self.n = n
+        self.slots = np.array([len(s) * 8 for s in signatures])
+        self._bits = [np.unpackbits(np.frombuffer(s, np.uint8)) for s in signatures]
+        self._tables: dict[int, np.ndarray] = {}
+
+    def _folded(self, i: int, slots: int) -> np.ndarray:
+        return np.packbits(np.bitwise_xor.reduce(self._bits[i].reshape(-1, slots), axis=0)).view(np.uint64)
+
+    def _table(self, slots: int) -> np.ndarray:
+        """All sets of ``slots`` slots or more, folded to that many; zeros for the others."""
+        if slots not in self._tables:
+            table = np.zeros((len(self.n), slots // 64), np.uint64)
+            for i in np.flatnonzero(self.slots >= slots):
+                table[i] = self._folded(i, slots)
+            self._tables[slots] = table
+        return self._tables[slots]
+
+    def possible(self, i: int, percent: int) -> np.ndarray:
+        """Which sets the threshold leaves room for, by length and parity."""
+        fits = np.minimum(self.n, self.n[i]) * 100 >= np.maximum(self.n, self.n[i]) * percent
+        for slots in np.unique(np.minimum(self.slots[fits], self.slots[i])):
+            at = np.flatnonzero(fits & (np.minimum(self.slots, self.slots[i]) == slots))
+            unlike = np.bitwise_count(self._table(slots)[at] ^ self._folded(i, slots)).sum(axis=1, dtype=np.int64)
+            total = self.n[at] + self.n[i]
+            fits[at] = (total - unlike) // 2 * (100 + percent) >= percent * total
+        return fits
+
+
 def _sketch(size: int):
     def step(batch: pa.RecordBatch):
         texts = texts_of(batch.column(1))
@@ -200,29 +233,33 @@ def _traverse(percent: int):
         whole = -(-percent * (n_a + n_b) // (100 + percent))
         return whole if max(n_a, n_b) <= HEAD else min(whole, SHARED)
 
-    def node_pairs(first, ids, n, comp, chunk, least, lists):
+    def node_pairs(first, ids, n, comp, chunk, least, lists, signatures):
         owner, count = np.unique(comp, return_counts=True)
         if len(owner) < 2:
             return []
-        trie, largest = Trie(), owner[count.argmax()]
-        for i, grams in enumerate(lists):
-            trie.add(grams, i)
+        trie, largest = None, owner[count.argmax()]
+        parity = Signatures(np.array(n), signatures)
         crossed = chunk.min() != chunk.max()
         pairs = []
         for i in range(len(ids)):
             if comp[i] == largest:
                 continue  # met by the sets of the other components
+            fits = parity.possible(i, percent) & (comp != comp[i])
+            if not fits.any():
+                continue
+            if trie is None:
+                trie = Trie()
+                for k, grams in enumerate(lists):
+                    trie.add(grams, k)
             for j, common in trie.overlapping(lists[i], least[i], first):
-                if comp[i] == comp[j] or (crossed and chunk[i] == chunk[j]):
-                    continue
-                if common >= needed(n[i], n[j]) and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]):
+                if fits[j] and not (crossed and chunk[i] == chunk[j]) and common >= needed(n[i], n[j]):
                     pairs.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pairs
 
     def run(batches):
         for rows in whole_groups(batches, rows=4000):
             g, node, c1, c2, ids, n, comp, chunk = (rows.column(i).to_numpy() for i in range(8))
-            heads = rows.column(8).combine_chunks()
+            heads, signatures = rows.column(8).combine_chunks(), rows.column(9).to_pylist()
             flat = heads.flatten()
             # Numbers that follow the global order (how many heads have it, n-gram) within this batch.
             rank, gram = flat.field(0).to_numpy(), flat.field(1).to_numpy()
@@ -246,7 +283,8 @@ def _traverse(percent: int):
                 own = alive[lo:hi]
                 if hi - lo > 1 and not (c1[own[0]] != c2[own[0]] and (chunk[own] == chunk[own[0]]).all()):
                     found.update(
-                        node_pairs(int(own_gram[own[0]]), ids[own].tolist(), n[own].tolist(), comp[own], chunk[own], least[own].tolist(), lists[lo:hi])
+                        node_pairs(int(own_gram[own[0]]), ids[own].tolist(), n[own].tolist(), comp[own], chunk[own], least[own].tolist(), lists[lo:hi],
+                                   [signatures[k] for k in own])
                     )
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -255,19 +293,22 @@ def _traverse(percent: int):
 
 
 def _ordered_heads(sets: DataFrame) -> DataFrame:
-    """Per set the n-grams of its head that another head has too, in the global order: doc_id, n, grams (heads, gram)."""
+    """Per set the n-grams of its head that another head has too, in the global order: doc_id, n, grams (heads, gram), weight."""
     entries = sets.select("doc_id", "n", F.explode("head").alias("gram"))
     counts = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1")
     shared = entries.join(counts, "gram").groupBy("doc_id", "n")  # HEAD rows at most
-    return cut_lineage(shared.agg(F.sort_array(F.collect_list(F.struct("heads", "gram"))).alias("grams")))
+    grams = F.sort_array(F.collect_list(F.struct("heads", "gram"))).alias("grams")
+    found = shared.agg(grams, F.sum("heads").alias("weight"))
+    return cut_lineage(found.join(sets.select("doc_id", "sig"), "doc_id"))
 
 
 def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """Nodes each set belongs to (node, doc_id, n): the first n-grams of its head, as far as another head has them."""
+    """Nodes each set belongs to (node, doc_id, n, weight): the first n-grams of its head, as far as another head has them."""
     alone = F.least("n", F.lit(HEAD)) - F.size("grams")  # the rarest of all
     length = F.when(F.col("n") <= HEAD, F.col("n") - _needed_of(F.col("n"), percent) + 1).otherwise(HEAD - SHARED + 1)
     room = F.greatest(length - alone, F.lit(0)).cast("int")
-    return ordered.select("doc_id", "n", F.explode(F.slice("grams", F.lit(1), room)).alias("g")).select(F.col("g.gram").alias("node"), "doc_id", "n")
+    exploded = ordered.select("doc_id", "n", "weight", F.explode(F.slice("grams", F.lit(1), room)).alias("g"))
+    return exploded.select(F.col("g.gram").alias("node"), "doc_id", "n", "weight")
 
 
 def _tree_pairs(level: DataFrame, ordered: DataFrame, percent: int, crowd: int) -> DataFrame:
@@ -278,8 +319,8 @@ def _tree_pairs(level: DataFrame, ordered: DataFrame, percent: int, crowd: int)
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
     group = ["node", "c1", "c2"]
-    dealt = dealt.withColumn("g", F.xxhash64(*group)).join(ordered.select("doc_id", "grams"), "doc_id")
-    dealt = dealt.select("g", *group, "doc_id", "n", "comp", "chunk", "grams").repartition("g").sortWithinPartitions("g", *group)
+    dealt = dealt.withColumn("g", F.xxhash64(*group)).join(ordered.select("doc_id", "grams", "sig"), "doc_id")
+    dealt = dealt.select("g", *group, "doc_id", "n", "comp", "chunk", "grams", "sig").repartition("g").sortWithinPartitions("g", *group)
     return cut_lineage(small_batches(dealt).mapInArrow(_traverse(percent), "a long, b long").distinct())
 
 
@@ -308,9 +349,11 @@ def ngram_components(
 
     ordered = _ordered_heads(sets)
     prefixes = _prefixes(ordered, percent)
-    nodes = prefixes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")).filter("size > 1")
-    level = cut_lineage(prefixes.join(nodes.select("node", "least"), "node"))
-    stars = cut_lineage(level.filter("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
+    # The set with the most widely shared n-grams stands in the middle of its near copies: most others link with it.
+    middle = F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("middle")
+    nodes = prefixes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), middle).filter("size > 1")
+    level = cut_lineage(prefixes.join(nodes.select("node", (-F.col("middle.id")).alias("centre")), "node").drop("weight"))
+    stars = cut_lineage(level.filter("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
     near = _links(stars, sets, texts, size, percent)
     comp = components(near).select(F.col("id").alias("doc_id"), "component")
     start = cut_lineage(
