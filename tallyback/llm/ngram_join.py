@@ -16,7 +16,8 @@ component have are left out of the lists first, and so are sets with too few oth
 * A parity signature (an upper bound of the overlap) tells beforehand which sets of a node a set can match at all, and
   only then is the trie built and traversed. Candidates are checked on the whole texts.
 
-Sets of up to HEAD n-grams are in the tree whole, so every pair at the threshold is found. For longer ones a
+Sets of up to HEAD n-grams are in the tree whole, so every pair of two of them at the threshold is found; where only
+the partner is longer, the prefix allows for all that its head lacks (16 n-grams at most), so these are found too. For two longer ones a
 pair must share ``SHARED`` of its HEAD smallest n-grams; a pair of similarity 0.8 shares 51 on average and
 fewer than 17 with a chance of 4e-21, less than the chance that two n-grams have the same 64-bit hash.
 """
@@ -78,6 +79,19 @@ def _needed_of(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
+def _least_of_heads(n: Column, percent: int) -> Column:
+    """N-grams the head of a set of ``n`` shares with the head of any partner at the threshold.
+
+    The largest partner of a set of up to HEAD may be cut itself: at worst all it lost was shared. Where that
+    leaves fewer than SHARED, and for longer sets, it is SHARED.
+    """
+    needed = _needed_of(n, percent)
+    largest = F.floor(n * 100 / percent)
+    shared = F.floor(((n + largest) * percent + 99 + percent) / (100 + percent)).cast("long")
+    cut = shared - F.greatest(largest - HEAD, F.lit(0))
+    return F.when(n <= HEAD, F.least(needed, F.greatest(cut, F.lit(SHARED)))).otherwise(F.least(needed, F.lit(SHARED)))
+
+
 class Signatures:
     """Parity signatures of a node's sets, compared one against all at once."""
 
@@ -304,8 +318,9 @@ def _ordered_heads(sets: DataFrame) -> DataFrame:
 
 def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
     """Nodes each set belongs to (node, doc_id, n, weight): the first n-grams of its head, as far as another head has them."""
-    alone = F.least("n", F.lit(HEAD)) - F.size("grams")  # the rarest of all
-    length = F.when(F.col("n") <= HEAD, F.col("n") - _needed_of(F.col("n"), percent) + 1).otherwise(HEAD - SHARED + 1)
+    size = F.least("n", F.lit(HEAD))
+    length = size - _least_of_heads(F.col("n"), percent) + 1
+    alone = size - F.size("grams")  # the rarest of all
     room = F.greatest(length - alone, F.lit(0)).cast("int")
     exploded = ordered.select("doc_id", "n", "weight", F.explode(F.slice("grams", F.lit(1), room)).alias("g"))
     return exploded.select(F.col("g.gram").alias("node"), "doc_id", "n", "weight")

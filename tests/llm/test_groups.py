@@ -56,6 +56,23 @@ def test_ngram_components(spark, seed, crowd):
     assert {r.doc_id: r.n_shingles for r in got} == {d: len(s) for d, s in sets.items()}
 
 
+def test_ngram_pairs_across_the_head(spark):
+    """Sets around HEAD near the threshold: one is whole in the tree, the other is cut."""
+    rng = random.Random(9)
+    fresh = lambda k: [f"v{rng.randint(0, 10**9)}" for _ in range(k)]
+    rows = []
+    for n in range(52, 86):
+        for extra in (n // 4, n // 4 - 2, n // 4 + 1):
+            for front in (0, extra // 2):
+                words = fresh(n + 4)
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(fresh(front) + words + fresh(extra - front)))]
+    sets = {d: grams(t) for d, t in rows}
+    links = [(d, d + 1) for d in range(0, len(rows), 2) if 100 * len(sets[d] & sets[d + 1]) >= 80 * len(sets[d] | sets[d + 1])]
+    assert len(links) > 100 and any(len(sets[a]) == 64 and len(sets[b]) == 80 for a, b in links)
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == roots(sets, links)
+
+
 def test_parity_bound_never_loses_a_pair():
     rng = np.random.default_rng(1)
     for _ in range(200):
