@@ -150,6 +150,44 @@ def test_long_blocks_find_as_much(spark, monkeypatch):
     assert all(got[i].n_links <= len(want[i]) for i in want)
 
 
+@pytest.mark.parametrize("largest", [1, 1 << 14, 100_000, 1 << 22, 1 << 26, 1 << 33])
+def test_tables_keep_recall_at_any_size(largest):
+    masks = table_masks(largest)
+    assert all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])  # keys of bits of their own
+    missed = np.prod([1 - (1 - np.arccos(0.93) / np.pi) ** mask.bit_count() for mask in masks])
+    assert 1 - missed >= 0.97
+    assert all(largest / 2.0 ** mask.bit_count() <= 64 for mask in masks)
+
+
+@pytest.mark.parametrize("largest", [1 << 22, 1 << 26])
+def test_pairs_at_the_threshold_meet(largest):
+    rng = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a, other = unit(rng.normal(size=(4000, 64))), rng.normal(size=(4000, 64))
+    other = unit(other - (other * a).sum(1)[:, None] * a)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * other
+    keys = vector_neighbours._placed(table_masks(largest))
+    models = vector_neighbours.learn_rotations(a, 1 + max(word for word, _ in keys))
+    x, y = (vector_neighbours.codes_of(v, models) for v in (a, b))
+    met = np.any([(x[:, word] ^ y[:, word]) & mask == 0 for word, mask in keys], axis=0)
+    assert met.mean() >= 0.96
+
+
+def test_each_label_has_tables_of_its_own_size():
+    tables = vector_neighbours.Tables({7: 1 << 22})
+    small, large = (tables.keys(tables.level(label)) for label in (1, 7))
+    assert small == vector_neighbours._placed(table_masks(100)) and len(large) > len(small)
+
+
+def test_labels_of_unlike_sizes_find_as_much(spark, monkeypatch):
+    monkeypatch.setattr(vector_neighbours, "PER_KEY", 1)  # labels of more than 256 vectors count as large
+    rows = [(i, v, 0 if label else 1) for i, v, label in vectors(8, n=700)]
+    want = brute(rows)
+    got = {r.vec_id: r for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.95 * sum(map(len, want.values()))
+    assert all(got[i].n_links <= len(want[i]) for i in want)
+
+
 def test_given_vectors(spark, folder):
     table = spark.read.parquet(f"{folder}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in table.collect()]
