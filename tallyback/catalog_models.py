@@ -96,7 +96,7 @@ def _importances(t):
 
 
 def _select_best(t):
-    candidates = _named(_short(M.churn_candidates()), "Logistic L2", "Decision tree balanced", "Boosted trees, sampled")
+    candidates = _short(M.churn_candidates())
     prepared = _churn_prepared(t)
     metrics = M.evaluate(prepared.train, prepared.test, candidates, "row_key")
     best = D.select_best_model(metrics, candidates)
@@ -116,7 +116,7 @@ def _value_coefficients(t):
 
 def _null_models(t):
     prepared = M.prepare_returns(R.order_mart(t))
-    return M.null_models(prepared, _named(_short(M.return_candidates()), "Logistic regression", "Decision tree", "Gradient boosting"), "order_id")
+    return M.null_models(prepared, _short(M.return_candidates()), "order_id")
 
 
 def _kmeans(t):
@@ -187,8 +187,7 @@ def _all_return_models(t):
 
 
 def _action_plan(t):
-    candidates = _named(_short(M.churn_candidates()), "Logistic L2", "Decision tree balanced")
-    return D.action_plan(t, candidates, FOREST_TREES)
+    return D.action_plan(t, _short(M.churn_candidates()), FOREST_TREES)
 
 
 MONEY = ("total_spend", "value", "item_total_sum", "flagged_order_value", "historical_spend")
@@ -205,6 +204,7 @@ QUERIES: dict[str, Query] = {
     "clf_gbt": on_tables(_return_model("Gradient boosting")),
     "clf_gbt_sampled": on_tables(_churn_model("Boosted trees, sampled")),
     "clf_knn": on_tables(_return_model("kNN")),
+    "return_model_comparison": on_tables(_all_return_models),
     "clf_mlp": on_tables(_churn_model("MLP balanced")),
     "grouped_importance": on_tables(_importances),
     "top_features": on_tables(lambda t: M.top_features(_importances(t))),

@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from checks.compare import connect, differences
+from tallyback.plans import decisions as D
+from tallyback.plans import models as M
 
 QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
 
@@ -83,3 +85,21 @@ def test_knn_is_scored_on_every_test_row(spark, folder):
     (metrics,) = rows(spark, folder, "clf_knn")
     counts = {(r.label, r.part): r.rows for r in rows(spark, folder, "stratified_split")}
     assert metrics.test_rows == counts[0, "test"] + counts[1, "test"]
+
+
+@pytest.mark.parametrize("name,candidates", [
+    ("select_best_model", M.churn_candidates), ("null_model_baselines", M.return_candidates), ("return_model_comparison", M.return_candidates),
+    ("action_plan", M.churn_candidates),
+])
+def test_every_candidate_takes_part(name, candidates, spark, folder, monkeypatch):
+    seen = []
+    shape = "model string, roc_auc double, precision double, recall double, f1 double, test_rows long"
+
+    def evaluate(train, test, given, key):
+        seen.extend(c.name for c in given)
+        return spark.createDataFrame([(c.name, 0.5, 0.0, 0.0, 0.0, 0) for c in given], shape)
+
+    monkeypatch.setattr(M, "evaluate", evaluate)
+    monkeypatch.setattr(D, "select_best_model", lambda metrics, given: given[0])
+    QUERIES[name](spark, folder)
+    assert seen == [c.name for c in candidates()]
