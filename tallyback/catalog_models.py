@@ -1,12 +1,7 @@
-"""Catalogue: splits, models, clusters, forest and decisions.
-
-Ensembles run here with fewer trees and rounds than the library defaults, so a
-run of the whole catalogue stays short; every query still reads whole tables.
-"""
+"""Catalogue: splits, models, clusters, forest and decisions, all with the library defaults."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,29 +14,10 @@ from tallyback.plans import models as M
 from tallyback.plans import retention as N
 from tallyback.plans import returns as R
 
-TREES, ROUNDS, FOREST_TREES = 40, 20, 300
+FOREST_TREES = 300
 REACH, MIN_POINTS = 0.9, 15  # density clustering of the study
 
 
-def _short(candidates: list[M.Candidate]) -> list[M.Candidate]:
-    """The same candidates with short ensembles."""
-
-    def shorten(make):
-        def build():
-            estimator = make()
-            if isinstance(estimator, RandomForestClassifier):
-                return estimator.setNumTrees(TREES).setMaxDepth(min(8, estimator.getMaxDepth()))
-            if isinstance(estimator, GBTClassifier):
-                return estimator.setMaxIter(ROUNDS)
-            if isinstance(estimator, MultilayerPerceptronClassifier):
-                return estimator.setMaxIter(60)
-            return estimator
-
-        return build
-
-    return [M.Candidate(c.name, shorten(c.make) if c.make else None, c.balance, c.neighbours) for c in candidates]
-
-
 def _named(candidates: list[M.Candidate], *names: str) -> list[M.Candidate]:
     return [c for c in candidates if c.name in names]
 
@@ -49,7 +25,7 @@ def _named(candidates: list[M.Candidate], *names: str) -> list[M.Candidate]:
 def _return_model(*names: str):
     def run(t):
         prepared = M.prepare_returns(R.order_mart(t))
-        return M.evaluate(prepared.train, prepared.test, _named(_short(M.return_candidates()), *names), "order_id")
+        return M.evaluate(prepared.train, prepared.test, _named(M.return_candidates(), *names), "order_id")
 
     return run
 
@@ -62,7 +38,7 @@ def _churn_prepared(t) -> M.Prepared:
 def _churn_model(*names: str):
     def run(t):
         prepared = _churn_prepared(t)
-        return M.evaluate(prepared.train, prepared.test, _named(_short(M.churn_candidates()), *names), "row_key")
+        return M.evaluate(prepared.train, prepared.test, _named(M.churn_candidates(), *names), "row_key")
 
     return run
 
@@ -91,12 +67,12 @@ def _feature_encoding(t):
 
 def _importances(t):
     prepared = M.prepare_returns(R.order_mart(t))
-    weighted = [c for c in _short(M.return_candidates()) if c.balance == "weights"]
+    weighted = [c for c in M.return_candidates() if c.balance == "weights"]
     return M.grouped_importances(prepared, weighted, "order_id", M.RETURN_NUMERIC, M.RETURN_CATEGORIES)
 
 
 def _select_best(t):
-    candidates = _short(M.churn_candidates())
+    candidates = M.churn_candidates()
     prepared = _churn_prepared(t)
     metrics = M.evaluate(prepared.train, prepared.test, candidates, "row_key")
     best = D.select_best_model(metrics, candidates)
@@ -116,7 +92,7 @@ def _value_coefficients(t):
 
 def _null_models(t):
     prepared = M.prepare_returns(R.order_mart(t))
-    return M.null_models(prepared, _short(M.return_candidates()), "order_id")
+    return M.null_models(prepared, M.return_candidates(), "order_id")
 
 
 def _kmeans(t):
@@ -183,11 +159,11 @@ def _forest_scores(t):
 
 def _all_return_models(t):
     prepared = M.prepare_returns(R.order_mart(t))
-    return M.evaluate(prepared.train, prepared.test, _short(M.return_candidates()), "order_id")
+    return M.evaluate(prepared.train, prepared.test, M.return_candidates(), "order_id")
 
 
 def _action_plan(t):
-    return D.action_plan(t, _short(M.churn_candidates()), FOREST_TREES)
+    return D.action_plan(t, M.churn_candidates(), FOREST_TREES)
 
 
 MONEY = ("total_spend", "value", "item_total_sum", "flagged_order_value", "historical_spend")

@@ -103,3 +103,24 @@ def test_every_candidate_takes_part(name, candidates, spark, folder, monkeypatch
     monkeypatch.setattr(D, "select_best_model", lambda metrics, given: given[0])
     QUERIES[name](spark, folder)
     assert seen == [c.name for c in candidates()]
+
+
+@pytest.mark.parametrize("name,model,size", [
+    ("clf_forest", "Random forest", {"numTrees": 300, "maxDepth": 30}), ("clf_gbt", "Gradient boosting", {"maxIter": 100}),
+    ("clf_gbt_sampled", "Boosted trees, sampled", {"maxIter": 250}), ("clf_mlp", "MLP balanced", {"maxIter": 400}),
+    ("grouped_importance", "Random forest", {"numTrees": 300, "maxDepth": 30}), ("select_best_model", "Random forest balanced", {"numTrees": 250, "maxDepth": 8}),
+    ("null_model_baselines", "Gradient boosting", {"maxIter": 100}),
+])
+def test_models_have_the_size_of_the_library(name, model, size, spark, folder, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(*args):
+        found = next(c for c in next(a for a in args if isinstance(a, list) and isinstance(a[0], M.Candidate)) if c.name == model).make()
+        raise Seen({k: found.getOrDefault(k) for k in size})
+
+    monkeypatch.setattr(M, "evaluate", stop)
+    monkeypatch.setattr(M, "grouped_importances", stop)
+    with pytest.raises(Seen) as seen:
+        QUERIES[name](spark, folder)
+    assert seen.value.args[0] == size
