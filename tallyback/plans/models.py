@@ -505,13 +505,14 @@ def cluster_frame(current: DataFrame) -> DataFrame:
     return cut_lineage(numeric_feature_pipeline(CLUSTER_INPUTS).fit(rows).transform(rows).drop("raw_features"))
 
 
-def rfm_kmeans(current: DataFrame, ks: range = range(2, 7), starts: int = 3) -> tuple[DataFrame, DataFrame]:
+def rfm_kmeans(current: DataFrame, ks: range = range(2, 7), starts: int = 20, iterations: int = 300) -> tuple[DataFrame, DataFrame]:
     """Clusters with the k of best silhouette, and the silhouette per k (best of several starts)."""
     rows = cluster_frame(current)
     evaluator = ClusteringEvaluator(featuresCol="features", distanceMeasure="squaredEuclidean")
     best, tried = None, []
     for k in ks:
-        models = [KMeans(k=k, seed=SEED + s, maxIter=50, featuresCol="features", predictionCol="cluster").fit(rows) for s in range(starts)]
+        fits = [KMeans(k=k, seed=SEED + s, maxIter=iterations, featuresCol="features", predictionCol="cluster") for s in range(starts)]
+        models = [fit.fit(rows) for fit in fits]
         model = min(models, key=lambda m: m.summary.trainingCost)
         silhouette = evaluator.setPredictionCol("cluster").evaluate(model.transform(rows))
         tried.append((k, silhouette))
