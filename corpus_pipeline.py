@@ -33,9 +33,13 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every component of near copies."""
+    """The document of smallest doc_id of every component of near copies, once if its row is repeated in full.
+
+    Rows without doc_id are linked with nothing and all stay.
+    """
     groups = ngram_components(docs, size=5, percent=80)
-    return docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    first = docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return first.dropDuplicates().union(docs.filter("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,10 @@ def test_stages_on_odd_rows(spark, odd_docs, nulled_docs, folder):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, folder)
             assert (out.columns == docs.columns or name == "byte-level BPE") and out.count() <= 3 * docs.count()
+
+
+def test_near_copy_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark, nulled_docs, folder):
+    got = corpus_pipeline.keep_one_of_near_copies(spark, nulled_docs, folder)
+    assert got.columns == nulled_docs.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 7, 8, 9]
