@@ -11,11 +11,14 @@ import public_tokenizers
 from tallyback.llm import sql
 from tallyback.llm.bpe import encode_texts
 from tallyback.llm.fingerprints import compare_edited_and_next
+from tallyback.llm.hard_negatives import mine_hard_negatives
+from tallyback.llm.license_scan import scan_licences
 from tallyback.llm.line_dedup import remove_widespread_lines
 from tallyback.llm.mixing import mix_sources
 from tallyback.llm.ngram_join import ngram_components
 from tallyback.llm.preferences import format_preferences
 from tallyback.llm.pu_quality import score_quality
+from tallyback.llm.spelling import group_spellings
 from tallyback.llm.substring_kmer import remove_repeated_words
 from tallyback.llm.substring_suffix import remove_repeated_bytes
 from tallyback.llm.vector_neighbours import near_duplicate_vectors
@@ -94,6 +97,22 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 50; a row whose vec_id is divisible by 7 moves to the next of ten labels."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("id") % 50 == 0, label=label)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return group_spellings(documents(spark, folder))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_tree_join": op2_ngram_tree_join,
@@ -105,6 +124,9 @@ QUERIES = {
     "op8_preference_format": op8_preference_format,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_license_scan": op11_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -115,5 +137,7 @@ SQL = {
     "op6_fair_mix": sql.OP6,
     "op7_super_kmers": sql.OP7,
     "op8_preference_format": sql.OP8,
+    "op12_hard_negatives": sql.OP12,
+    "op13_spelling_variants": sql.OP13,
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }

@@ -13,4 +13,4 @@ def test_matches_sql(name, spark, folder, duck):
 
 def test_names():
     assert [n for n in QUERIES if n.startswith("op")] == sorted((n for n in QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert set(SQL) <= set(QUERIES) and len(QUERIES) == 11
+    assert set(SQL) <= set(QUERIES) and len(QUERIES) == 14
