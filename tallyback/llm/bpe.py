@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
-A task gathers the distinct pre-tokens ("words") it has not met yet and encodes them
+A Python worker gathers the distinct pre-tokens ("words") that none of its tasks has met lately and encodes them
 together: an inverted index leads from the rank of a token pair to the places where
 the pair stands, and the merges are replayed over all words in rank order, each one touching
 only its own places and their neighbours. Documents are then put together from encoded words.
@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame
 from tallyback.llm.common import arrow_map, document_texts
 from tallyback.llm.text import texts_of
 
-# Words a task remembers before it starts afresh; a bound on memory, not on what is encoded.
+# Words a worker remembers, the rarer half of which it then drops; a bound on memory, not on what is encoded.
 REMEMBERED_WORDS = 400_000
 # Longer words are encoded but not remembered.
 LONG_WORD = 256
+# Token numbers of a pair are packed into one integer; END stands behind every word.
+SHIFT = 24
+END = (1 << SHIFT) - 1
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -32,31 +35,42 @@ def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of the merged token for every two tokens that merge, keyed by ``left << SHIFT | right``."""
+    table = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                table[left << SHIFT | right] = rank
+    return table
+
+
+def replay_merges(words: list[bytes], letters: list[int], table: dict[int, int]) -> list[list[int]]:
     """Token ids of every word: always the merge of lowest rank first, equal ranks from left to right.
 
     All words are laid out in one array of tokens linked to their neighbours. ``places`` is the
     inverted index from a pair's rank to the left places of its occurrences, and a heap yields the
     ranks in order; a merge may create a pair of lower rank, which the heap then yields next.
+    ``letters`` gives the token of each byte, ``table`` what two tokens merge to (``merge_table``).
     """
-    tokens: list[bytes | None] = []
-    after: list[int] = []
-    before: list[int] = []
-    places: dict[int, list[int]] = {}
+    tokens: list[int] = []  # -1: taken up by the token to its left; a word ends with END, which merges with nothing
     heads: list[int] = []
     for word in words:
-        base, n = len(tokens), len(word)
-        heads.append(base if n else -1)
-        tokens.extend(word[i : i + 1] for i in range(n))
-        after.extend(range(base + 1, base + n + 1))
-        before.extend(range(base - 1, base + n - 1))
-        if n:
-            after[-1] = -1
-            before[base] = -1
-        for i in range(n - 1):
-            rank = ranks.get(word[i : i + 2])
-            if rank is not None:
-                places.setdefault(rank, []).append(base + i)
+        heads.append(len(tokens))
+        tokens += [letters[b] for b in word]
+        tokens.append(END)
+    after = list(range(1, len(tokens) + 1))
+    before = list(range(-1, len(tokens) - 1))
+    merged = table.get
+    places: dict[int, list[int]] = {}
+    for at, (left, right) in enumerate(zip(tokens, tokens[1:])):
+        rank = merged(left << SHIFT | right)
+        if rank is not None:
+            if rank in places:
+                places[rank].append(at)
+            else:
+                places[rank] = [at]
     pending = list(places)
     heapq.heapify(pending)
     while pending:
@@ -66,73 +80,94 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
             continue
         found.sort()
         for done, left in enumerate(found, 1):
-            if tokens[left] is None:
+            token = tokens[left]
+            if token < 0:
                 continue
             right = after[left]
-            if right < 0:
-                continue
-            pair = tokens[left] + tokens[right]
-            if ranks.get(pair) != rank:
+            if merged(token << SHIFT | tokens[right]) != rank:
                 continue  # one of the two was merged meanwhile
-            tokens[left], tokens[right] = pair, None
-            beyond = after[right]
+            tokens[left], tokens[right] = rank, -1
+            beyond, ahead = after[right], before[left]
             after[left] = beyond
-            if beyond >= 0:
-                before[beyond] = left
+            before[beyond] = left
             lower = False
-            for a, b in ((before[left], left), (left, beyond)):
-                if a >= 0 and b >= 0:
-                    new = ranks.get(tokens[a] + tokens[b])
-                    if new is not None:
-                        if new not in places:
-                            places[new] = []
-                            heapq.heappush(pending, new)
-                        places[new].append(a)
-                        lower |= new < rank
+            new = merged(rank << SHIFT | tokens[beyond])
+            if new is not None:
+                lower = new < rank
+                if new in places:
+                    places[new].append(left)
+                else:
+                    places[new] = [left]
+                    heapq.heappush(pending, new)
+            if ahead >= 0:
+                new = merged(tokens[ahead] << SHIFT | rank)
+                if new is not None:
+                    lower = lower or new < rank
+                    if new in places:
+                        places[new].append(ahead)
+                    else:
+                        places[new] = [ahead]
+                        heapq.heappush(pending, new)
             if lower and done < len(found):  # a merge of lower rank goes before the rest of this rank's places
-                places[rank] = found[done:]
+                places[rank] = found[done:] + places.get(rank, [])
                 heapq.heappush(pending, rank)
                 break
-    encoded = []
-    for head in heads:
-        ids = []
-        while head >= 0:
-            ids.append(ranks[tokens[head]])
-            head = after[head]
-        encoded.append(ids)
-    return encoded
+    return [[t for t in tokens[start:end] if t >= 0 and t != END] for start, end in zip(heads, [*heads[1:], len(tokens)])]
 
 
 class Codec:
     """Words to token ids and back, remembering what was encoded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self._ranks = ranks
         self._token = {rank: token for token, rank in ranks.items()}
+        self._letters = [ranks[bytes([b])] for b in range(256)]
+        self._table = merge_table(ranks)
         self._find = regex.compile(pattern).findall
+        # Words met lately, and those met before them: what is met again moves up, the rest goes with the older half.
         self._known: dict[str, tuple[str, int, bytes]] = {}
+        self._older: dict[str, tuple[str, int, bytes]] = {}
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self._token[i] for i in ids])
 
+    def encode_words(self, words: list[str]) -> list[tuple[str, int, bytes]]:
+        replayed = replay_merges([w.encode() for w in words], self._letters, self._table)
+        return [(" ".join(map(str, ids)), len(ids), self.decode(ids)) for ids in replayed]
+
     def encode(self, texts: list[str]) -> Iterable[tuple[str, int, bytes]]:
         """Per text: ids as decimal text joined by one space, their number, and the bytes the ids stand for."""
-        if len(self._known) > REMEMBERED_WORDS:
-            self._known = {}
-        known = self._known
+        if len(self._known) > REMEMBERED_WORDS // 2:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         split = [self._find(text) for text in texts]
-        new = list({word for words in split for word in words if word not in known})
-        short = [w for w in new if len(w) <= LONG_WORD]
-        brief = {}
-        for group, target in ((short, known), ([w for w in new if len(w) > LONG_WORD], brief)):
-            for word, ids in zip(group, replay_merges([w.encode() for w in group], self._ranks)):
-                target[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        met = set()
+        for words in split:
+            met.update(words)
+        short, long = [], []
+        for word in met:
+            if word not in known:
+                entry = older.pop(word, None)
+                if entry is not None:
+                    known[word] = entry
+                else:
+                    (short if len(word) <= LONG_WORD else long).append(word)
+        known.update(zip(short, self.encode_words(short)))
+        brief = dict(zip(long, self.encode_words(long)))
         for words in split:
-            found = [known.get(w) or brief[w] for w in words]
+            found = [known[w] for w in words] if not brief else [known.get(w) or brief[w] for w in words]
             yield " ".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
 
 
-_codecs: dict[tuple[str, str], Codec] = {}  # one per Python worker
+_codecs: dict[tuple[str, str], Codec] = {}  # one per Python worker, shared by all its tasks
+
+
+def codec_for(name: str, pattern: str) -> Codec:
+    """The worker's codec. A function of this module, so that a task finds the module's own memory and not a copy."""
+    key = (name, pattern)
+    if key not in _codecs:
+        with open(SparkFiles.get(name), "rb") as lines:
+            _codecs[key] = Codec(parse_ranks(lines), pattern)
+    return _codecs[key]
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,12 +184,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     name = ranks_path.rsplit("/", 1)[-1]
 
     def step(batch: pa.RecordBatch):
-        key = (name, pattern)
-        if key not in _codecs:
-            with open(SparkFiles.get(name), "rb") as lines:
-                _codecs[key] = Codec(parse_ranks(lines), pattern)
         texts = texts_of(batch.column(1)).to_pylist()
-        rows = list(_codecs[key].encode(texts))
+        rows = list(codec_for(name, pattern).encode(texts))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()),
              pa.array([r[2] for r in rows], pa.binary())],

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tallyback.llm.bpe import Codec, encode_texts, parse_ranks, replay_merges
+from tallyback.llm.bpe import Codec, encode_texts, merge_table, parse_ranks, replay_merges
 from tallyback.llm.fingerprints import Sampler, compare_edited_and_next, fingerprint_texts, likeness
 from tallyback.llm.line_dedup import remove_widespread_lines
 from tallyback.llm.mixing import mix_sources, mixed_documents
@@ -198,7 +198,19 @@ def test_lower_ranks_that_a_merge_opens_go_first():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 260, b"ca": 310, b"bc": 305, b"abca": 270}
     words = [b"abcab", b"ababc", b"cabca", b"abab", b"aab"]
     encoding = tiktoken.Encoding("own", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
-    assert replay_merges(words, ranks) == [encoding.encode_ordinary(w.decode()) for w in words]
+    letters = [ranks[bytes([b])] for b in range(256)]
+    assert replay_merges(words, letters, merge_table(ranks)) == [encoding.encode_ordinary(w.decode()) for w in words]
+
+
+def test_codec_forgets_the_rarer_half(monkeypatch, plain):
+    monkeypatch.setattr("tallyback.llm.bpe.REMEMBERED_WORDS", 40)
+    codec = Codec(plain[0], public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    for _ in range(60):
+        text = "often " * 3 + " ".join(f"w{rng.randint(0, 300)}" for _ in range(15))
+        ((ids, _, data),) = codec.encode([text])
+        assert ids == " ".join(map(str, plain[1].encode_ordinary(text))) and data == text.encode()
+        assert len(codec._known) + len(codec._older) < 120 and " often" in codec._known
 
 
 def test_bpe_on_documents(spark, folder, plain):
