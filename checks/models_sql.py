@@ -38,7 +38,23 @@ def plan(select: str) -> str:
     return with_views(CURRENT, ROBUST_TAIL, FLAGS, PLAN, select)
 
 
+# kNN vote over whole numbers: distances are roots of whole numbers, ties go to the smaller key as text.
+VOTE = """
+marked AS (
+  SELECT o.order_id, CASE WHEN order_status = 'returned' THEN 1 ELSE 0 END AS label, lines, units, floor(total_amount / 10000) AS bucket
+  FROM r_orders o JOIN (SELECT order_id, count(*) AS lines, sum(quantity) AS units FROM r_items GROUP BY order_id) i USING (order_id)),
+met AS (
+  SELECT q.order_id, q.label, p.label AS vote, sqrt((p.lines - q.lines) ** 2 + (p.units - q.units) ** 2 + (p.bucket - q.bucket) ** 2) AS d
+  FROM marked q JOIN marked p ON q.order_id::BIGINT % 5 = 0 AND p.order_id::BIGINT % 5 <> 0
+  QUALIFY row_number() OVER (PARTITION BY q.order_id ORDER BY d, p.order_id) <= 15)
+"""
+
 SQL: dict[str, str] = {
+    "knn_vote_fixed": with_views(
+        VOTE,
+        f"""SELECT order_id, {num('label')}, {dbl("""CASE WHEN min(d) = 0 THEN avg(vote) FILTER (d = 0)
+      ELSE sum(vote / d) / sum(1 / d) END""", 'score')} FROM met GROUP BY order_id, label""",
+    ),
     "user_flag_rates": with_views(
         ROBUST,
         FLAGS,

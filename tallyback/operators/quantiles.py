@@ -1,4 +1,4 @@
-"""Exact quantiles without collecting a group's values in one task."""
+"""Exact quantiles by radix selection: counts per bucket of the values' bits, never a sorted group."""
 
 from __future__ import annotations
 
@@ -6,66 +6,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyback.operators.sizing import settle
+from tallyback.session import release
 
-SKETCH_ACCURACY = 10_000
+DIGIT = 16  # bits decided by one pass
+FEW = 1 << DIGIT  # rows that one last pass may order by their whole value
+_LOW_BITS = (1 << 63) - 1
+
+
+def _turned(bits: Column) -> Column:
+    """Bits of a double as a long that sorts as the double does: those below the sign turned over in negative numbers, and back."""
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_LOW_BITS))).otherwise(bits)
+
+
+def with_ordered_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``value`` replaced by its ordered image; -0.0 counts as 0.0."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value) + F.lit(0.0)).cast("long")
+    return df.withColumn("_bits", bits).withColumn(out, _turned(F.col("_bits"))).drop("_bits", value)
+
+
+def from_ordered_bits(image: Column) -> Column:
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), _turned(image)).cast("double")
+
+
+def _narrow(counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Per wanted rank the bucket (``_key``) that holds it, the rank inside that bucket, and the bucket's rows.
+
+    The window runs over the buckets of one prefix, at most ``FEW`` of them.
+    """
+    upto = Window.partitionBy(*by, "_prefix").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+    here = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_end"))
+    return placed.join(wanted, [*by, "_prefix"]).filter(here).select(
+        *by, "_which", "_share", F.col("_key").alias("_prefix"), (F.col("_rank") - F.col("_start")).alias("_rank"), F.col("_c").alias("_size")
+    )
 
 
 def exact_quantile(df: DataFrame, value: Column, q: float, by: list[str], out: str) -> DataFrame:
     """Exact quantile per group with linear interpolation, nulls and NaN left out.
 
-    Pass one brackets the quantile with a mergeable sketch whose rank error is
-    bounded by n / accuracy. Pass two counts everything outside the bracket as
-    two rows per group and only orders the distinct values inside it, about
-    n / 2500 rows at most, so the shuffle is tiny and no raw value group is
-    ever gathered. The wanted positions are checked against the exact counts
-    and the job fails rather than return a neighbour.
+    Every pass counts the values by the next 16 bits of their ordered image, inside the buckets that hold a wanted rank, with
+    map-side partial counts; what is left after a pass is one bucket per group and rank. As soon as all these buckets
+    are small, one pass over their whole values ends the search: two passes on most tables, four on any. No task
+    sees more than ``FEW`` buckets of a group. Groups with a null key are left out.
     """
-    data = df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
-    margin = 2.0 / SKETCH_ACCURACY
-    low, high = max(0.0, q - margin), min(1.0, q + margin)
-    brackets = settle(
-        data.groupBy(*by)
-        .agg(
-            F.percentile_approx("_v", [low, high], SKETCH_ACCURACY).alias("_range"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        .select(*by, F.col("_range")[0].alias("_lo"), F.col("_range")[1].alias("_hi"), "_n")
-    )
-    zone = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
-    counted = (
-        data.join(brackets, by)
-        .withColumn("_zone", zone)
-        .groupBy(*by, "_zone", F.when(F.col("_zone") == 0, F.col("_v")).alias("_inner"))
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.first("_n").alias("_n"),
-        )
-    )
-    upto = Window.partitionBy(*by).orderBy("_zone", "_inner").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
-    position = F.lit(q) * (F.col("_n") - 1)
-
-    def value_at(index: Column) -> Column:
-        here = (F.col("_start") <= index) & (index < F.col("_end"))
-        pick = (
-            F.when(F.col("_zone") == 0, F.col("_inner"))
-            .when((F.col("_zone") == -1) & (index == F.col("_end") - 1), F.col("_max"))
-            .when((F.col("_zone") == 1) & (index == F.col("_start")), F.col("_min"))
-            .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+    data = settle(with_ordered_bits(df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)"), "_v", "_image"))
+    shift = 64 - DIGIT
+    first = data.groupBy(*by, F.shiftright("_image", shift).alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    position = F.lit(q) * (F.sum("_c").over(whole) - 1)
+    placed = first.withColumns({"_end": F.sum("_c").over(upto), "_position": position}).withColumn("_start", F.col("_end") - F.col("_c"))
+    ends = [
+        F.struct(F.lit(i).alias("_which"), (F.col("_position") - F.floor("_position")).alias("_share"), end("_position").alias("_rank"))
+        for i, end in enumerate((F.floor, F.ceil))
+    ]
+    here = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_end"))
+    state = settle(
+        placed.select("*", F.inline(F.array(*ends))).filter(here).select(
+            *by, "_which", "_share", F.col("_key").alias("_prefix"), (F.col("_rank") - F.col("_start")).alias("_rank"), F.col("_c").alias("_size")
         )
-        return F.max(F.when(here, pick))
-
-    picked = placed.groupBy(*by).agg(
-        value_at(F.floor(position)).alias("_v0"),
-        value_at(F.ceil(position)).alias("_v1"),
-        F.first(position - F.floor(position)).alias("_share"),
     )
-    return picked.select(*by, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_share")).alias(out))
+    while shift:
+        most = state.agg(F.max("_size")).first()[0] or 0
+        after = 0 if most <= FEW else shift - DIGIT
+        inside = data.withColumn("_prefix", F.shiftright("_image", shift)).join(state.select(*by, "_prefix").distinct(), [*by, "_prefix"])
+        counts = inside.groupBy(*by, "_prefix", F.shiftright("_image", after).alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
+        narrowed = settle(_narrow(counts, state, by))
+        release(state)
+        state, shift = narrowed, after
+    release(data)
+    images = [F.max(F.when(F.col("_which") == i, F.col("_prefix"))).alias(f"_image{i}") for i in (0, 1)]
+    ends = state.groupBy(*by).agg(*images, F.first("_share").alias("_share")).withColumns({f"_v{i}": from_ordered_bits(F.col(f"_image{i}")) for i in (0, 1)})
+    return ends.select(*by, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_share")).alias(out))
 
 
 def exact_quantile_of_table(df: DataFrame, value: Column, q: float, out: str) -> DataFrame:
-    """One-row frame with the exact quantile over the whole table."""
+    """One-row frame with the exact quantile over the whole table, null where it has no values."""
     one_group = df.select(F.lit(1).alias("_all"), value.alias("_value"))
-    return exact_quantile(one_group, F.col("_value"), q, ["_all"], out).select(out)
+    found = exact_quantile(one_group, F.col("_value"), q, ["_all"], out)
+    return found.agg(F.max(out).alias(out))

@@ -11,18 +11,19 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyback.functions import columns as C
+from tallyback.operators.bagged_trees import BaggedTrees, BaggedTreesModel
+from tallyback.operators.neighbours import neighbour_vote
 from tallyback.operators.ranks import global_row_number, total_before
 from tallyback.plans.retention import FEATURES
 from tallyback.session import cut_lineage
@@ -212,7 +213,7 @@ class Candidate:
     neighbours: int = 0
 
 
-# These trees were unbounded in the study, limited only by leaf size; Spark ML allows a depth of 30.
+# The tree was unbounded in the study, limited only by leaf size; Spark ML allows a depth of 30. Forests have no such limit.
 DEEP = 30
 
 
@@ -223,7 +224,7 @@ def return_candidates() -> list[Candidate]:
         Candidate("kNN", None, "downsample", neighbours=15),
         Candidate(
             "Random forest",
-            lambda: RandomForestClassifier(numTrees=300, maxDepth=DEEP, minInstancesPerNode=3, seed=SEED),
+            lambda: BaggedTrees(trees=300, min_leaf=3, seed=SEED),
             "weights",
         ),
         Candidate("Gradient boosting", lambda: GBTClassifier(maxIter=100, stepSize=0.05, maxDepth=2, seed=SEED), "weights"),
@@ -238,7 +239,7 @@ def churn_candidates() -> list[Candidate]:
         Candidate("Decision tree balanced", lambda: DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=25, seed=SEED), "weights"),
         Candidate(
             "Random forest balanced",
-            lambda: RandomForestClassifier(numTrees=250, maxDepth=8, minInstancesPerNode=10, seed=SEED),
+            lambda: BaggedTrees(trees=250, min_leaf=10, max_depth=8, seed=SEED),
             "weights",
         ),
         Candidate(
@@ -272,7 +273,7 @@ def balance_rows(train: DataFrame, candidate: Candidate, key: str) -> DataFrame:
 
 
 def fit_candidate(train: DataFrame, candidate: Candidate, key: str):
-    """Fit on (label, features) rows; returns the Spark ML model."""
+    """Fit on (label, features) rows; returns the Spark ML model or the forest."""
     rows = balance_rows(train, candidate, key).withColumn("label", F.col("label").cast("double"))
     estimator = candidate.make()
     if isinstance(estimator, LogisticRegression):
@@ -283,14 +284,14 @@ def fit_candidate(train: DataFrame, candidate: Candidate, key: str):
 
 
 def positive_scores(model, rows: DataFrame, key: str) -> DataFrame:
+    if isinstance(model, BaggedTreesModel):
+        return model.score(rows, key)
     scored = model.transform(rows.withColumn("label", F.col("label").cast("double")))
     return scored.select(key, F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
 
 
 def score_candidate(train: DataFrame, test: DataFrame, candidate: Candidate, key: str) -> DataFrame:
     """Test rows with the candidate's probability of class 1."""
-    from tallyback.operators.neighbours import neighbour_vote
-
     if candidate.neighbours:
         rows = balance_rows(train, candidate, key)
         return neighbour_vote(rows, test, key, "features", "label", candidate.neighbours)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tallyback.operators import density, forest, neighbours
+from tallyback.operators import bagged_trees, density, forest, neighbours
 from tallyback.operators.quantiles import exact_quantile, exact_quantile_of_table
 from tallyback.operators.ranks import first_row_per_key, global_row_number, percent_ranks, row_number_by_day, total_before
 from tallyback.plans.returns import order_value_quintile
@@ -56,6 +56,20 @@ def test_exact_quantile_matches_linear_interpolation(spark, rng, q):
     assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), q), abs=1e-12)
 
 
+@pytest.mark.parametrize("few", [1, 1 << 16])
+def test_quantiles_of_odd_doubles(spark, few, monkeypatch):
+    monkeypatch.setattr("tallyback.operators.quantiles.FEW", few)  # 1: all four passes
+    values = [-0.0, 0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52, -1.0, -1.0 - 2**-52, 1.0, 1.0]
+    df = spark.createDataFrame([("g", v) for v in values] + [("n", None), ("h", 2.5)], "g string, v double")
+    ordered = sorted(values)
+    for i in (0, 3, 6, 8, 10, 13):
+        got = {r.g: r.x for r in exact_quantile(df, F.col("v"), i / 13, ["g"], "x").collect()}
+        assert got["h"] == 2.5 and "n" not in got
+        if abs(ordered[i]) < 1e300:
+            assert got["g"] == pytest.approx(ordered[i], abs=1e-300, rel=1e-15)
+    assert exact_quantile_of_table(df.limit(0), F.col("v"), 0.5, "x").first().x is None
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 8, 12])
 def test_quintiles_of_small_sizes(spark, n):
     amounts = [float(i // 2) for i in range(n)]
@@ -85,7 +99,6 @@ def test_first_row_per_key_uses_explicit_order(spark):
 
 def test_neighbour_vote_matches_brute_force(spark, rng, monkeypatch):
     # tiny limits so that chunks, blocks and cells all come into play
-    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 60)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
     points = np.vstack([rng.normal(size=(900, 3)), np.zeros((40, 3))])
     labels = rng.integers(0, 2, len(points))
@@ -172,3 +185,56 @@ def test_expected_path():
     assert forest.expected_path(1) == 0 and forest.expected_path(2) == 1
     assert forest.expected_path(256) == pytest.approx(10.2448, abs=1e-3)
     assert math.isfinite(forest.expected_path(10**9))
+
+
+def _plain_tree(x, y, w, rows, min_leaf):
+    """Shares of class 1 by exhaustive weighted Gini splits, for every row of ``x``, with all columns tried."""
+    impurity = lambda r: 0 if not len(r) else (w[r] * y[r]).sum() * (w[r] * (1 - y[r])).sum() / w[r].sum()
+    best = (1e-12, None)
+    for f in range(x.shape[1]):
+        for border in np.unique(x[rows, f])[:-1]:
+            low, high = rows[x[rows, f] <= border], rows[x[rows, f] > border]
+            if min(len(low), len(high)) >= min_leaf:
+                gain = impurity(rows) - impurity(low) - impurity(high)
+                best = max(best, (gain, (f, border)), key=lambda b: b[0] if b[1] is None or b[0] > best[0] + 1e-9 else -1)
+    if best[1] is None:
+        return {int(i): (w[rows] * y[rows]).sum() / w[rows].sum() for i in rows}
+    f, border = best[1]
+    return {**_plain_tree(x, y, w, rows[x[rows, f] <= border], min_leaf), **_plain_tree(x, y, w, rows[x[rows, f] > border], min_leaf)}
+
+
+def test_one_tree_against_exhaustive_splits(rng, monkeypatch):
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 3) ^ (rng.random(300) < 0.1)).astype(float)
+    w = np.where(y == 1, 1.7, 0.6) * (1 + rng.random(300) / 1000)  # no equal gains
+    codes = bagged_trees.bin_codes(x, bagged_trees.bin_edges(x))
+
+    class Whole:  # every row drawn once instead of a bootstrap sample
+        def integers(self, low, high, n):
+            return np.arange(n)
+
+        def random(self, shape):
+            return np.zeros(shape)
+
+    monkeypatch.setattr(bagged_trees.np.random, "default_rng", lambda seed: Whole())
+    tree = bagged_trees.grow_tree(codes, y, w, 1, 3, 4, 100)
+    want = _plain_tree(x, y, w, np.arange(300), 4)
+    assert tree.scores(codes) == pytest.approx([want[i] for i in range(300)], abs=1e-6)
+    assert tree.importance.sum() == pytest.approx(1)
+
+
+def test_bagged_trees_learn_and_repeat(spark, rng):
+    x = rng.normal(size=(1500, 5))
+    y = (x[:, 1] + x[:, 3] > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), [float(v) for v in x[i]], 1.0 + int(y[i])) for i in range(1500)], "id int, label int, v array<double>, w double").repartition(4)
+    df = df.select("id", "label", array_to_vector("v").alias("features"), "w")
+    train, test = df.filter("id < 1000"), df.filter("id >= 1000")
+    model = bagged_trees.BaggedTrees(trees=20, min_leaf=3).setWeightCol("w").fit(train)
+    scores = {r.id: r.score for r in model.score(test, "id").collect()}
+    assert np.mean([(scores[i] > 0.5) == y[i] for i in range(1000, 1500)]) > 0.9
+    assert sorted(np.argsort(model.featureImportances.toArray())[-2:]) == [1, 3]
+    again = bagged_trees.BaggedTrees(trees=20, min_leaf=3).setWeightCol("w").fit(train.repartition(7))
+    assert {r.id: r.score for r in again.score(test, "id").collect()} == scores
+    drawn = bagged_trees.BaggedTrees(trees=3, min_leaf=3, max_rows=400).fit(train)
+    assert all((t.feature != bagged_trees.LEAF).sum() < 400 for t in drawn.trees) and len(drawn.trees) == 3
+    assert model.score(test.limit(0), "id").count() == 0
