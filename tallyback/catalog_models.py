@@ -117,8 +117,7 @@ def _null_models(t):
 
 
 def _kmeans(t):
-    clustered, scores = M.rfm_kmeans(N.current_customers(t))
-    chosen = clustered.agg(F.count_distinct("cluster")).scalar()
+    _, scores, chosen = M.rfm_kmeans(N.current_customers(t))
     return scores.withColumn("chosen", F.col("k") == chosen)
 
 

@@ -12,7 +12,6 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyback.functions import columns as C
 from tallyback.operators.bagged_trees import BaggedTrees, BaggedTreesModel
+from tallyback.operators.kmeans import assign_clusters, fit_kmeans_grid
 from tallyback.operators.neighbours import neighbour_vote
 from tallyback.operators.ranks import global_row_number, total_before
 from tallyback.plans.retention import FEATURES
@@ -506,21 +506,20 @@ def cluster_frame(current: DataFrame) -> DataFrame:
     return cut_lineage(numeric_feature_pipeline(CLUSTER_INPUTS).fit(rows).transform(rows).drop("raw_features"))
 
 
-def rfm_kmeans(current: DataFrame, ks: range = range(2, 7), starts: int = 20, iterations: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Clusters with the k of best silhouette, and the silhouette per k (best of several starts)."""
+def rfm_kmeans(current: DataFrame, ks: range = range(2, 7), starts: int = 20, iterations: int = 300) -> tuple[DataFrame, DataFrame, int]:
+    """Clusters with the k of best silhouette, the silhouette per k (best of several starts), and the chosen k."""
     rows = cluster_frame(current)
-    evaluator = ClusteringEvaluator(featuresCol="features", distanceMeasure="squaredEuclidean")
+    evaluator = ClusteringEvaluator(featuresCol="features", distanceMeasure="squaredEuclidean", predictionCol="cluster")
+    fits = fit_kmeans_grid(rows, "user_id", "features", ks, starts, iterations, SEED)
     best, tried = None, []
     for k in ks:
-        fits = [KMeans(k=k, seed=SEED + s, maxIter=iterations, featuresCol="features", predictionCol="cluster") for s in range(starts)]
-        models = [fit.fit(rows) for fit in fits]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        silhouette = evaluator.setPredictionCol("cluster").evaluate(model.transform(rows))
+        clustered = assign_clusters(rows, "features", fits[k], "cluster")
+        silhouette = evaluator.evaluate(clustered)
         tried.append((k, silhouette))
         if best is None or silhouette > best[0]:
-            best = (silhouette, model)
+            best = (silhouette, clustered, k)
     scores = rows.sparkSession.createDataFrame(tried, "k int, silhouette double")
-    return best[1].transform(rows), scores
+    return best[1], scores, best[2]
 
 
 def cluster_profile(clustered: DataFrame) -> DataFrame:

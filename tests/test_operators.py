@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tallyback.operators import bagged_trees, density, forest, neighbours
+from tallyback.operators import bagged_trees, density, forest, kmeans, neighbours
 from tallyback.operators.quantiles import exact_quantile, exact_quantile_of_table
 from tallyback.operators.ranks import first_row_per_key, global_row_number, percent_ranks, row_number_by_day, total_before
 from tallyback.plans.returns import order_value_quintile
@@ -238,3 +238,34 @@ def test_bagged_trees_learn_and_repeat(spark, rng):
     drawn = bagged_trees.BaggedTrees(trees=3, min_leaf=3, max_rows=400).fit(train)
     assert all((t.feature != bagged_trees.LEAF).sum() < 400 for t in drawn.trees) and len(drawn.trees) == 3
     assert model.score(test.limit(0), "id").count() == 0
+
+
+def _plain_lloyd(rows, centres):
+    for _ in range(300):
+        own = ((rows[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        moved = np.array([rows[own == i].mean(0) if (own == i).any() else c for i, c in enumerate(centres)])
+        if np.sqrt(((moved - centres) ** 2).sum(1)).max() <= kmeans.REST:
+            break
+        centres = moved
+    return centres, ((rows[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_kmeans_grid_against_plain_fits(spark, rng, monkeypatch):
+    rows = np.vstack([rng.normal(m, 0.5, (120, 2)) for m in ((0, 0), (4, 0), (0, 5), (6, 6))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id int, v array<double>").repartition(5)
+    df = df.select("id", array_to_vector("v").alias("features"))
+    begun, start = [], kmeans.spread_start
+
+    def remember(drawn, k, rng):
+        begun.append(start(drawn, k, rng))
+        return begun[-1]
+
+    monkeypatch.setattr(kmeans, "spread_start", remember)
+    got = kmeans.fit_kmeans_grid(df, "id", "features", [2, 4], 3, 300, 1)
+    plain = {k: min((_plain_lloyd(rows, c) for c in begun if len(c) == k), key=lambda f: f[1])[0] for k in (2, 4)}
+    for k in (2, 4):
+        assert got[k] == pytest.approx(plain[k], abs=1e-9)
+    own = {r.id: r.c for r in kmeans.assign_clusters(df, "features", got[4], "c").collect()}
+    assert len({own[i] for i in range(0, 480, 120)}) == 4 and all(own[i] == own[i - i % 120] for i in range(480))
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(6)], "id int, v array<double>").select("id", array_to_vector("v").alias("features"))
+    assert kmeans.fit_kmeans_grid(same, "id", "features", [3], 2, 10, 1)[3].tolist() == [[1.0, 1.0]] * 3
