@@ -38,6 +38,31 @@ def document_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def one_row_per_id(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What a search over documents reads of ``texts`` (doc_id, text): one row per id that is not null.
+
+    A row repeated in full is one document; of rows that share only their id the smallest text is searched. The second table holds
+    (doc_id, text) of the ids that stand in several rows, None if there are none; ``with_spans`` needs it.
+    """
+    known = texts.filter("doc_id IS NOT NULL")
+    several = cut_lineage(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if several.isEmpty():
+        release(several)
+        return known, None
+    chosen = cut_lineage(known.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    return known.join(several, "doc_id", "left_anti").union(chosen), chosen
+
+
+def with_spans(texts: DataFrame, per_doc: DataFrame, chosen: DataFrame | None) -> DataFrame:
+    """Every row of ``texts`` with its ``spans``; of an id that stands in several rows, those whose text was searched."""
+    joined = texts.join(per_doc, "doc_id", "left")
+    if chosen is None:
+        return joined
+    searched = chosen.select("doc_id", F.col("text").alias("searched"))
+    own = F.col("searched").isNull() | F.col("text").eqNullSafe(F.col("searched"))
+    return joined.join(searched, "doc_id", "left").select("doc_id", "text", F.when(own, F.col("spans")).alias("spans"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): one row (id, component) per id in an edge, component the smallest id.
 

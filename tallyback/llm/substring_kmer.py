@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyback.llm.common import arrow_map, cut_lineage, document_texts, release
+from tallyback.llm.common import arrow_map, cut_lineage, document_texts, one_row_per_id, release, with_spans
 from tallyback.llm.families import FAMILY, distinct_families, merged, runs_of, shared_families, whole_groups
 from tallyback.llm.text import Rolling, byte_values, chunks, concat_ranges, signed, texts_of, window_families, word_bounds
 
@@ -183,14 +183,15 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, id_col: str = "doc_
     Words are runs of characters other than space and tab to carriage return, unchanged. Rows: doc_id, n_words, n_removed,
     removed (maximal word runs, end exclusive) and kept (the remaining words joined by one space). Windows lie
     in one document and are judged on the input; the first occurrence goes too. Null, empty and blank texts
-    have no words. doc_id must be unique; a row whose doc_id is null is left out of the search and
-    returned uncut. An empty table gives an empty result; other columns are not read.
+    have no words. A row repeated in full is one document, returned as often as it stands and cut alike each time; of rows
+    that share only their doc_id, the smallest text is searched and the others are returned uncut, as is a row whose doc_id is null. An empty table gives an empty result; other columns are not read.
     """
     texts = document_texts(docs, id_col, text_col)
-    runs = repeated_word_runs(texts.filter("doc_id IS NOT NULL"), window)
+    searched, chosen = one_row_per_id(texts)
+    runs = repeated_word_runs(searched, window)
     per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return arrow_map(
-        texts.join(per_doc, "doc_id", "left"),
+        with_spans(texts, per_doc, chosen),
         _cut,
         "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string",
     )

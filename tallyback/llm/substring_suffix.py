@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyback.llm.common import arrow_map, cut_lineage, document_texts, release
+from tallyback.llm.common import arrow_map, cut_lineage, document_texts, one_row_per_id, release, with_spans
 from tallyback.llm.families import FAMILY, distinct_families, merged, runs_of, shared_families, whole_groups
 from tallyback.llm.text import U64, Rolling, byte_values, chunks, concat_ranges, signed, texts_of, window_families
 
@@ -201,15 +201,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
 
     Rows: doc_id, n_bytes, n_removed, removed (maximal byte runs, end exclusive) and kept (the remaining
     bytes; a cut may split a character, so this is binary). Null and empty texts: zero bytes, nothing removed.
-    Texts shorter than ``length`` are never cut. Order among rows is by doc_id, which must be unique; a row
-    whose doc_id is null is left out of the search and returned uncut. An empty table gives an empty result;
-    other columns are not read.
+    Texts shorter than ``length`` are never cut. Order among rows is by doc_id. A row repeated in full is one document,
+    returned as often as it stands and cut alike each time; of rows that share only their doc_id, the smallest text is
+    searched and the others are returned uncut, as is a row whose doc_id is null. An empty table gives an empty
+    result; other columns are not read.
     """
     texts = document_texts(docs, id_col, text_col)
-    runs = repeated_byte_runs(texts.filter("doc_id IS NOT NULL"), length)
+    searched, chosen = one_row_per_id(texts)
+    runs = repeated_byte_runs(searched, length)
     per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return arrow_map(
-        texts.join(per_doc, "doc_id", "left"),
+        with_spans(texts, per_doc, chosen),
         _cut,
         "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary",
     )

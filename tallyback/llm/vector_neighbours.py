@@ -204,7 +204,8 @@ def near_duplicate_vectors(
     included), kept marks the smallest. No pair below the cosine is linked; the index may miss a pair (about 3 %
     of those exactly at 0.93, fewer above, whatever the size of the label). Vectors that are null, empty, zero or hold null or non-finite
     numbers, and those without label, link with nothing, nor do vectors of unequal length. Equal vectors link with each other.
-    vec_id must be unique; a null id links with nothing and has a null component. An empty table gives an empty result.
+    Rows that share a vec_id are one vector, the smallest by (label, vector scaled to its largest number), and all get its result; a null id
+    links with nothing and has a null component. An empty table gives an empty result.
     """
     rows = table.select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"),
@@ -216,7 +217,9 @@ def near_duplicate_vectors(
     usable = rows.filter(F.coalesce(sound, F.lit(False)))
     # Scaling by the largest number keeps squares finite; the cosine does not change.
     peak = F.array_max(F.transform("vector", F.abs))
-    usable = usable.withColumn("scaled", F.transform("vector", lambda x: x / peak))
+    scaled = usable.select("vec_id", "label", F.transform("vector", lambda x: x / peak).alias("scaled"))
+    one = scaled.groupBy("vec_id").agg(F.min(F.struct("label", "scaled")).alias("row"))
+    usable = cut_lineage(one.select("vec_id", "row.label", "row.scaled"))
     merged = cut_lineage(usable.groupBy("label", "scaled").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     entries = merged.select(F.col("rep").alias("vec_id"), "label", "copies", F.col("scaled").alias("vector"))
 

@@ -208,3 +208,10 @@ def test_odd_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13))
     assert got[None].n_links == 0 and got[None].component_id is None
     assert near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_rows_of_one_vector_id(spark):
+    a, b = [1.0, 0.5, 0.0, 0.0], [2.0, 1.0, 0.0, 0.0]
+    rows = [(1, a, 0), (1, a, 0), (2, b, 0), (2, [0.0, 0.0, 0.0, 1.0], 3), (4, a, 0)]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1, True)] * 2 + [(2, 2, 1, False)] * 2 + [(4, 2, 1, False)]

@@ -78,3 +78,19 @@ def test_odd_rows(odd_docs, nulled_docs):
     assert len(by[6].removed) == 1 and by[4].n_removed == 0
     assert remove_repeated_bytes(nulled_docs).count() == remove_repeated_words(nulled_docs).count() == 12
     assert remove_repeated_bytes(odd_docs.limit(0)).count() == remove_repeated_words(odd_docs.limit(0)).count() == 0
+
+
+def test_repeated_long_rows_are_one_document(spark):
+    words = [f"w{i}x{i * 7 % 13}" for i in range(400)]
+    share, own = " ".join(words[:120]), " ".join(words[120:300])
+    rows = [(5, f"{share} {own}"), (5, f"{share} {own}"), (9, f"tail {share} end"), (7, "a" + own), (7, "b" + share), (None, share), (None, share)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = spark.createDataFrame([(5, f"{share} {own}"), (9, f"tail {share} end"), (7, "a" + own)], "doc_id long, text string")
+    for remove in (remove_repeated_bytes, remove_repeated_words):
+        want = {r.doc_id: tuple(r) for r in remove(plain).collect()}
+        got = remove(docs).collect()
+        assert len(got) == 7 and [tuple(r) for r in got if r.doc_id in (5, 9)].count(want[5]) == 2
+        assert want[9] in [tuple(r) for r in got] and sorted(r.n_removed for r in got if r.doc_id == 7) == sorted([0, want[7][2]])
+        assert all(r.n_removed == 0 for r in got if r.doc_id is None)
+        if remove is remove_repeated_bytes:
+            assert want[5][2] == 0 and want[9][2] >= len(share)
