@@ -13,6 +13,7 @@ import base64
 import heapq
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -54,25 +55,25 @@ def replay_merges(words: list[bytes], letters: list[int], table: dict[int, int])
     ranks in order; a merge may create a pair of lower rank, which the heap then yields next.
     ``letters`` gives the token of each byte, ``table`` what two tokens merge to (``merge_table``).
     """
-    tokens: list[int] = []  # -1: taken up by the token to its left; a word ends with END, which merges with nothing
-    heads: list[int] = []
-    for word in words:
-        heads.append(len(tokens))
-        tokens += [letters[b] for b in word]
-        tokens.append(END)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1)  # a word ends with END, which merges with nothing
+    laid = np.full(int(ends[-1]) if len(words) else 0, END, np.int64)
+    inside = np.ones(len(laid), bool)
+    inside[ends - 1] = False
+    laid[inside] = np.array(letters, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+    tokens: list[int] = laid.tolist()  # -1: taken up by the token to its left
     after = list(range(1, len(tokens) + 1))
     before = list(range(-1, len(tokens) - 1))
     merged = table.get
-    places: dict[int, list[int]] = {}
-    for at, (left, right) in enumerate(zip(tokens, tokens[1:])):
-        rank = merged(left << SHIFT | right)
-        if rank is not None:
-            if rank in places:
-                places[rank].append(at)
-            else:
-                places[rank] = [at]
-    pending = list(places)
-    heapq.heapify(pending)
+    pairs, which = np.unique(laid[:-1] << SHIFT | laid[1:], return_inverse=True)
+    ranks = np.array([merged(pair, -1) for pair in pairs.tolist()], np.int64)[which] if len(pairs) else pairs
+    order = np.argsort(ranks, kind="stable")
+    order = order[np.searchsorted(ranks[order], 0) :]
+    steps = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+    places: dict[int, list[int]] = {
+        rank: found.tolist() for rank, found in zip(ranks[order[steps]].tolist(), np.split(order, steps[1:]) if len(steps) else [])
+    }
+    pending = list(places)  # in order, so a heap already
     while pending:
         rank = heapq.heappop(pending)
         found = places.pop(rank, None)
@@ -112,7 +113,11 @@ def replay_merges(words: list[bytes], letters: list[int], table: dict[int, int])
                 places[rank] = found[done:] + places.get(rank, [])
                 heapq.heappush(pending, rank)
                 break
-    return [[t for t in tokens[start:end] if t >= 0 and t != END] for start, end in zip(heads, [*heads[1:], len(tokens)])]
+    left_over = np.array(tokens, np.int64)
+    kept = (left_over >= 0) & inside
+    ids = left_over[kept].tolist()
+    borders = np.cumsum(kept)[ends - 1].tolist() if len(words) else []
+    return [ids[start:end] for start, end in zip([0, *borders], borders)]
 
 
 class Codec:
@@ -120,6 +125,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self._token = {rank: token for token, rank in ranks.items()}
+        self._digits = {rank: str(rank) for rank in self._token}
         self._letters = [ranks[bytes([b])] for b in range(256)]
         self._table = merge_table(ranks)
         self._find = regex.compile(pattern).findall
@@ -132,7 +138,8 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> list[tuple[str, int, bytes]]:
         replayed = replay_merges([w.encode() for w in words], self._letters, self._table)
-        return [(" ".join(map(str, ids)), len(ids), self.decode(ids)) for ids in replayed]
+        digits = self._digits
+        return [(" ".join([digits[i] for i in ids]), len(ids), self.decode(ids)) for ids in replayed]
 
     def encode(self, texts: list[str]) -> Iterable[tuple[str, int, bytes]]:
         """Per text: ids as decimal text joined by one space, their number, and the bytes the ids stand for."""
@@ -154,8 +161,12 @@ class Codec:
         known.update(zip(short, self.encode_words(short)))
         brief = dict(zip(long, self.encode_words(long)))
         for words in split:
-            found = [known[w] for w in words] if not brief else [known.get(w) or brief[w] for w in words]
-            yield " ".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
+            if not words:
+                yield "", 0, b""
+                continue
+            found = map(known.__getitem__, words) if not brief else [known.get(w) or brief[w] for w in words]
+            ids, numbers, parts = zip(*found)
+            yield " ".join(ids), sum(numbers), b"".join(parts)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}  # one per Python worker, shared by all its tasks
