@@ -49,7 +49,23 @@ met AS (
   QUALIFY row_number() OVER (PARTITION BY q.order_id ORDER BY d, p.order_id) <= 15)
 """
 
+# Ridge on two centred features by Cramer's rule.
+RIDGE = """
+xy AS (
+  SELECT i.lines AS x, i.units AS z, total_amount / 1000 AS y
+  FROM r_orders o JOIN (SELECT order_id, count(*) AS lines, sum(quantity) AS units FROM r_items GROUP BY order_id) i USING (order_id)),
+m AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM xy),
+s AS (
+  SELECT sum((x - mx) ** 2) + 10 AS xx, sum((z - mz) ** 2) + 10 AS zz, sum((x - mx) * (z - mz)) AS xz,
+         sum((x - mx) * (y - my)) AS xy, sum((z - mz) * (y - my)) AS zy FROM xy, m),
+w AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM s),
+terms AS (
+  SELECT unnest([{'term': 'intercept', 'coefficient': my - a * mx - b * mz}, {'term': 'lines', 'coefficient': a}, {'term': 'units', 'coefficient': b}]) AS t
+  FROM w, m)
+"""
+
 SQL: dict[str, str] = {
+    "ridge_fixed": with_views(RIDGE, f"SELECT t.term AS term, {dbl('t.coefficient', 'coefficient')} FROM terms"),
     "knn_vote_fixed": with_views(
         VOTE,
         f"""SELECT order_id, {num('label')}, {dbl("""CASE WHEN min(d) = 0 THEN avg(vote) FILTER (d = 0)

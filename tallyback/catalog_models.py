@@ -107,8 +107,21 @@ def _coefficients(t):
 
 
 def _value_coefficients(t):
-    prepared = _churn_prepared(t)
-    return M.coefficient_frame(prepared.train.sparkSession, N.FEATURES, M.value_models(prepared)["Ridge"].coefficients)
+    """Ridge coefficients after the refit that scores the customers."""
+    calendar = N.snapshot_calendar(t["orders"])
+    panel = M.cut_lineage(N.customer_snapshot_panel(t, calendar))
+    return M.coefficient_frame(panel.sparkSession, N.FEATURES, D.refitted_ridge(panel, calendar)[1].coefficients)
+
+
+def _fixed_ridge(t):
+    """Ridge with one penalty on two features, which has a closed form: order value by lines and units."""
+    lines = t["order_items"].groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"))
+    rows = t["orders"].join(lines, "order_id").select(
+        "order_id", (F.col("total_amount") / 1000).alias("value"), M.array_to_vector(F.array(F.col("lines").cast("double"), F.col("units").cast("double"))).alias("features")
+    )
+    fit = M.ridge(M.moments(rows, "features", F.col("value"), "order_id", M.FOLDS, M.SEED).whole, 10.0)
+    values = [("intercept", fit.intercept), ("lines", float(fit.coefficients[0])), ("units", float(fit.coefficients[1]))]
+    return rows.sparkSession.createDataFrame(values, "term string, coefficient double")
 
 
 def _null_models(t):
@@ -210,6 +223,7 @@ QUERIES: dict[str, Query] = {
     "select_best_model": on_tables(_select_best),
     "coefficients": on_tables(_coefficients),
     "value_coefficients": on_tables(_value_coefficients),
+    "ridge_fixed": on_tables(_fixed_ridge),
     "value_regression": on_tables(lambda t: M.value_regression(_churn_prepared(t))),
     "price_regression": on_tables(lambda t: M.price_regression(t["products"])),
     "rfm_kmeans": on_tables(_kmeans),

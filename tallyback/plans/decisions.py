@@ -99,6 +99,13 @@ def select_best_model(metrics: DataFrame, candidates: list[M.Candidate]) -> M.Ca
     return next(c for c in candidates if c.name == best)
 
 
+def refitted_ridge(panel: DataFrame, calendar: N.SnapshotCalendar) -> tuple[M.PipelineModel, M.LinearFit]:
+    """Scaler and ridge spend model fitted on all snapshots before the final one, as they are used for scoring."""
+    earlier = cut_lineage(M.churn_frame(panel.filter(F.col("snapshot_date") < F.lit(calendar.final).cast("timestamp_ntz"))))
+    pipeline = M.numeric_feature_pipeline(N.FEATURES).fit(earlier)
+    return pipeline, M.value_ridge(pipeline.transform(earlier))
+
+
 def scored_customers(t: Tables, candidates: list[M.Candidate] | None = None) -> DataFrame:
     """Current customers with segment, churn probability of the best model and ridge spend forecast.
 
@@ -115,11 +122,8 @@ def scored_customers(t: Tables, candidates: list[M.Candidate] | None = None) ->
     vectors = prepared.pipeline.transform(M.churn_frame(current))
     churn = M.score_candidate(prepared.train, vectors, best, "row_key").select("row_key", F.col("score").alias("churn_probability"))
 
-    earlier = cut_lineage(M.churn_frame(panel.filter(F.col("snapshot_date") < F.lit(calendar.final).cast("timestamp_ntz"))))
-    pipeline = M.numeric_feature_pipeline(N.FEATURES).fit(earlier)
-    refit = M.Prepared(pipeline, cut_lineage(pipeline.transform(earlier)), prepared.test)
-    ridge = M.value_models(refit)["Ridge"]
-    spend = M.predicted_spend(ridge, pipeline.transform(M.churn_frame(current))).select("row_key", "user_id", "predicted_spend")
+    pipeline, fit = refitted_ridge(panel, calendar)
+    spend = M.predicted_spend(fit, pipeline.transform(M.churn_frame(current))).select("row_key", "user_id", "predicted_spend")
     return current.join(spend.join(churn, "row_key").drop("row_key"), "user_id")
 
 

@@ -12,17 +12,16 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyback.functions import columns as C
 from tallyback.operators.bagged_trees import BaggedTrees, BaggedTreesModel
 from tallyback.operators.kmeans import assign_clusters, fit_kmeans_grid
+from tallyback.operators.moments import LinearFit, Moments, cross_validated, lasso, least_squares, moments, ridge
 from tallyback.operators.neighbours import neighbour_vote
 from tallyback.operators.ranks import global_row_number, total_before
 from tallyback.plans.retention import FEATURES
@@ -429,28 +428,19 @@ def null_models(prepared: Prepared, candidates: list[Candidate], key: str) -> Da
 
 # ---------------------------------------------------------------- value and price regressions
 
+# The penalty grids.
 RIDGE_ALPHAS = [0.1, 1.0, 10.0, 100.0]
 LASSO_ALPHAS = [0.0001, 0.001, 0.01, 0.1, 1.0]
 PRICE_LASSO_ALPHAS = [0.001, 0.01, 0.1, 1.0]
+FOLDS = 5
 
 
-def linear_models(rows: DataFrame, target: str, lasso_alphas: list[float], weights_rows: int) -> dict[str, object]:
-    """Least squares, ridge and lasso; the penalties chosen by cross-validation over fixed grids.
-
-    Ridge penalties are on the summed loss, so they are divided by the row count here.
-    """
-    base = LinearRegression(featuresCol="features", labelCol=target, standardization=False, solver="auto")
-    evaluator = RegressionEvaluator(labelCol=target, metricName="rmse")
-
-    def tuned(estimator: LinearRegression, penalties: list[float]):
-        grid = ParamGridBuilder().addGrid(estimator.regParam, penalties).build()
-        search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=5, seed=SEED, parallelism=4)
-        return search.fit(rows).bestModel
-
+def linear_models(found: Moments, lasso_alphas: list[float]) -> dict[str, LinearFit]:
+    """Least squares, ridge and lasso from one pass of moments; the penalties chosen by cross-validation over fixed grids."""
     return {
-        "OLS": base.fit(rows),
-        "Ridge": tuned(base.copy(), [a / weights_rows for a in RIDGE_ALPHAS]),
-        "Lasso": tuned(base.copy().setElasticNetParam(1.0), lasso_alphas),
+        "OLS": least_squares(found.whole),
+        "Ridge": cross_validated(found, ridge, RIDGE_ALPHAS),
+        "Lasso": cross_validated(found, lasso, lasso_alphas),
     }
 
 
@@ -459,9 +449,17 @@ def predicted_spend(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("predicted_spend", F.greatest(F.lit(0.0), F.expm1("prediction")))
 
 
-def value_models(prepared: Prepared) -> dict[str, object]:
-    train = prepared.train.withColumn("target", C.log1p_floor_zero(F.col("future_spend")))
-    return linear_models(train.select("features", "target"), "target", LASSO_ALPHAS, train.count())
+def value_moments(rows: DataFrame) -> Moments:
+    """Moments of log spend over the feature vectors."""
+    return moments(rows, "features", C.log1p_floor_zero(F.col("future_spend")), "row_key", FOLDS, SEED)
+
+
+def value_ridge(rows: DataFrame) -> LinearFit:
+    return cross_validated(value_moments(rows), ridge, RIDGE_ALPHAS)
+
+
+def value_models(prepared: Prepared) -> dict[str, LinearFit]:
+    return linear_models(value_moments(prepared.train), LASSO_ALPHAS)
 
 
 def value_regression(prepared: Prepared) -> DataFrame:
@@ -490,7 +488,8 @@ def price_regression(products: DataFrame) -> DataFrame:
     ready = cut_lineage(price_pipeline().fit(rows).transform(rows).select("product_id", "price", "features", "in_train"))
     train, test = ready.filter("in_train"), ready.filter("NOT in_train")
     parts = []
-    for name, model in linear_models(train, "price", PRICE_LASSO_ALPHAS, train.count()).items():
+    found = moments(train, "features", F.col("price"), "product_id", FOLDS, SEED)
+    for name, model in linear_models(found, PRICE_LASSO_ALPHAS).items():
         scored = model.transform(test).withColumn("predicted_price", F.greatest(F.lit(0.0), F.col("prediction")))
         parts.append(regression_metrics(scored, "price", "predicted_price").select(F.lit(name).alias("model"), "*"))
     return union_all(parts).orderBy("mae")

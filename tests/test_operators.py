@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tallyback.operators import bagged_trees, density, forest, kmeans, neighbours
+from tallyback.operators import bagged_trees, density, forest, kmeans, moments, neighbours
 from tallyback.operators.quantiles import exact_quantile, exact_quantile_of_table
 from tallyback.operators.ranks import first_row_per_key, global_row_number, percent_ranks, row_number_by_day, total_before
 from tallyback.plans.returns import order_value_quintile
@@ -269,3 +269,26 @@ def test_kmeans_grid_against_plain_fits(spark, rng, monkeypatch):
     assert len({own[i] for i in range(0, 480, 120)}) == 4 and all(own[i] == own[i - i % 120] for i in range(480))
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(6)], "id int, v array<double>").select("id", array_to_vector("v").alias("features"))
     assert kmeans.fit_kmeans_grid(same, "id", "features", [3], 2, 10, 1)[3].tolist() == [[1.0, 1.0]] * 3
+
+
+def test_linear_models_from_moments(spark, rng):
+    x = rng.normal(size=(400, 3)) @ np.array([[1, 0.4, 0], [0, 1, 0], [0, 0, 2.0]]) + 5
+    y = x @ [1.5, -2, 0.0] + 3 + rng.normal(size=400)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(y[i])) for i in range(400)], "id int, v array<double>, y double").repartition(5)
+    df = df.select("id", array_to_vector("v").alias("features"), "y")
+    found = moments.moments(df, "features", F.col("y"), "id", 5, 1)
+    z, c = x - x.mean(0), y - y.mean()
+    fits = {"ols": moments.least_squares(found.whole), "ridge": moments.ridge(found.whole, 50.0), "lasso": moments.lasso(found.whole, 0.3)}
+    assert fits["ols"].coefficients == pytest.approx(np.linalg.lstsq(z, c, rcond=None)[0])
+    assert fits["ridge"].coefficients == pytest.approx(np.linalg.solve(z.T @ z + 50 * np.eye(3), z.T @ c))
+    w = fits["lasso"].coefficients
+    slope = z.T @ (c - z @ w) / 400  # at the optimum: alpha times the sign, or at most alpha where the coefficient is 0
+    assert all(s == pytest.approx(0.3 * np.sign(v)) if v else abs(s) <= 0.3 + 1e-9 for s, v in zip(slope, w)) and w[2] == 0
+    for fit in fits.values():
+        errors = {r.id: r.y - r.prediction for r in fit.transform(df).collect()}
+        assert moments.squared_error(found.whole, fit) == pytest.approx(sum(e * e for e in errors.values()), rel=1e-6)
+    tried = []
+    best = moments.cross_validated(found, lambda m, a: tried.append(a) or moments.ridge(m, a), [1e6, 1.0])
+    assert best.coefficients == pytest.approx(moments.ridge(found.whole, 1.0).coefficients) and len(tried) == 11
+    twice = spark.createDataFrame([(i, [float(i), float(i)], 2.0 * i) for i in range(9)], "id int, v array<double>, y double").select("id", array_to_vector("v").alias("features"), "y")
+    assert moments.least_squares(moments.moments(twice, "features", F.col("y"), "id", 2, 1).whole).coefficients == pytest.approx([1.0, 1.0])
