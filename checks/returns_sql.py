@@ -211,7 +211,27 @@ SUMMARY = {
     "Unusual customers below expectation": "count(*) FILTER (WHERE unusual AND direction = 'Below expectation')",
 }
 
+# Upper tail of chi-square: one minus the series of the regularised incomplete gamma function.
+TAILS = """
+tails AS (
+  SELECT *, CASE WHEN chi2 = 0 THEN 1.0 WHEN chi2 IS NOT NULL THEN greatest(0.0, 1 - list_sum(list_transform(range(20000),
+           lambda k: exp((degrees_freedom / 2.0 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(degrees_freedom / 2.0 + k + 1))))) END AS p
+  FROM tests)
+"""
+TEST_COLUMNS = f"""dimension, {dbl('chi2', 'chi2')}, {num('degrees_freedom')}, {dbl('sqrt(chi2 / n)', 'cramers_v')}, {num('n', 'orders_tested')},
+      {num('low', 'expected_cells_below_5')}, {num('cells', 'expected_cell_count')},
+      {dbl('low * 1.0 / nullif(cells, 0)', 'pct_expected_cells_below_5')}, {dbl('p', 'p_value')}"""
+
 SQL: dict[str, str] = {
+    "chi_square_p_values": with_views(SEGMENTS, TAILS, f"SELECT {TEST_COLUMNS} FROM tails"),
+    "bonferroni": with_views(SEGMENTS, TAILS, f"SELECT {TEST_COLUMNS}, {dbl('least(1.0, p * count(p) OVER ())', 'bonferroni_p')} FROM tails"),
+    "csv_scan": with_views(
+        "\nUNION ALL\n".join(
+            f"""SELECT '{n}' AS table_name, {f"count(*) FILTER (order_status <> 'cancelled')" if n == 'orders' else 'count(*)'} AS table_rows,
+      {f"count(*) FILTER (order_status = 'cancelled')" if n == 'orders' else '0::BIGINT'} AS bad_rows, 0::BIGINT AS unlike_rows FROM {VIEW_OF[n]}"""
+            for n in TABLES
+        )
+    ),
     "scan_tables": with_views(each("SELECT '{t}' AS table_name, count(*) AS table_rows FROM {v}")),
     "schema_contract": with_views(
         "\nUNION ALL\n".join(

@@ -217,6 +217,7 @@ QUERIES: dict[str, Query] = {
     "knn_vote_fixed": on_tables(_fixed_vote),
     "return_model_comparison": on_tables(_all_return_models),
     "clf_mlp": on_tables(_churn_model("MLP balanced")),
+    "clf_mlp_returns": on_tables(_return_model("Neural network")),
     "grouped_importance": on_tables(_importances),
     "top_features": on_tables(lambda t: M.top_features(_importances(t))),
     "head_per_group": on_tables(lambda t: M.top_features(_importances(t), 5)),

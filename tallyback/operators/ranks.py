@@ -58,7 +58,8 @@ def percent_ranks(df: DataFrame, key: list[str], values: dict[str, Column]) -> D
     to the rows by an unhinted join per value, where the planner sees the
     size of the rank table and adaptive execution splits a hot value.
     """
-    rows = df.select(*key, *[v.cast("double").alias(f"_{n}") for n, v in values.items()])
+    # Written once: the counts read it, and so does the join of every value.
+    rows = cut_lineage(df.select(*key, *[v.cast("double").alias(f"_{n}") for n, v in values.items()]))
     entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("value")) for n in values])
     counts = (
         rows.select(F.inline(entries)).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("ties"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyback.functions import columns as C
+from tallyback.session import cut_lineage
 from tallyback.sources.schemas import (
     NUMERIC_COLUMNS,
     PRIMARY_KEYS,
@@ -18,6 +19,7 @@ from tallyback.sources.schemas import (
 )
 
 Tables = Mapping[str, DataFrame]
+CORRUPT = "_unreadable_line"
 
 
 def read_csv_table(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -28,6 +30,19 @@ def read_csv_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return raw.select(*[C.null_tokens_to_null(F.col(c)).alias(c) for c in raw.columns])
 
 
+def scan_csv_table(spark: SparkSession, name: str, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A headed CSV as text rows, and the lines that don't have one value per column, as they stand.
+
+    One permissive read: a line that doesn't fit is kept whole in a column of its own instead of ending the job or losing its tail.
+    """
+    schema = text_schema([*columns, CORRUPT])
+    lines = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).csv(path)
+    require_columns({name: lines})
+    read = cut_lineage(lines)  # parsed once; both results are read from the table
+    good = read.filter(F.col(CORRUPT).isNull()).select(*[C.null_tokens_to_null(F.col(c)).alias(c) for c in columns])
+    return good, read.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+
+
 def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
     return {name: read_csv_table(spark, name, path) for name, path in paths.items()}
 

@@ -107,7 +107,7 @@ def test_every_candidate_takes_part(name, candidates, spark, folder, monkeypatch
 
 @pytest.mark.parametrize("name,model,size", [
     ("clf_forest", "Random forest", {"trees": 300, "min_leaf": 3}), ("clf_gbt", "Gradient boosting", {"maxIter": 100}),
-    ("clf_gbt_sampled", "Boosted trees, sampled", {"maxIter": 250}), ("clf_mlp", "MLP balanced", {"maxIter": 400}),
+    ("clf_gbt_sampled", "Boosted trees, sampled", {"maxIter": 250}), ("clf_mlp", "MLP balanced", {"max_iterations": 400}),
     ("grouped_importance", "Random forest", {"trees": 300, "min_leaf": 3}), ("select_best_model", "Random forest balanced", {"trees": 250, "max_depth": 8}),
     ("null_model_baselines", "Gradient boosting", {"maxIter": 100}),
 ])
@@ -117,7 +117,7 @@ def test_models_have_the_size_of_the_library(name, model, size, spark, folder, m
 
     def stop(*args):
         found = next(c for c in next(a for a in args if isinstance(a, list) and isinstance(a[0], M.Candidate)) if c.name == model).make()
-        raise Seen({k: getattr(found, k) if isinstance(found, M.BaggedTrees) else found.getOrDefault(k) for k in size})
+        raise Seen({k: getattr(found, k) if hasattr(found, k) and not hasattr(found, "getOrDefault") else found.getOrDefault(k) for k in size})
 
     monkeypatch.setattr(M, "evaluate", stop)
     monkeypatch.setattr(M, "grouped_importances", stop)

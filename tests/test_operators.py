@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyback.operators import bagged_trees, density, forest, kmeans, moments, neighbours
 from tallyback.operators.quantiles import exact_quantile, exact_quantile_of_table
 from tallyback.operators.ranks import first_row_per_key, global_row_number, percent_ranks, row_number_by_day, total_before
+from tallyback.plans import models
 from tallyback.plans.returns import order_value_quintile
 
 
@@ -292,3 +293,20 @@ def test_linear_models_from_moments(spark, rng):
     assert best.coefficients == pytest.approx(moments.ridge(found.whole, 1.0).coefficients) and len(tried) == 11
     twice = spark.createDataFrame([(i, [float(i), float(i)], 2.0 * i) for i in range(9)], "id int, v array<double>, y double").select("id", array_to_vector("v").alias("features"), "y")
     assert moments.least_squares(moments.moments(twice, "features", F.col("y"), "id", 2, 1).whole).coefficients == pytest.approx([1.0, 1.0])
+
+
+def test_network_stops_early_and_keeps_its_best(spark, rng, monkeypatch):
+    x = rng.normal(size=(600, 2))
+    rows = [(float(x[i, 0] * x[i, 1] > 0), [float(v) for v in x[i]]) for i in range(600)]
+    df = spark.createDataFrame(rows, "label double, v array<double>").select("label", array_to_vector("v").alias("features"))
+    rounds, network = [], models.MultilayerPerceptronClassifier
+
+    def counted(**given):
+        rounds.append(given["maxIter"])
+        return network(**given)
+
+    monkeypatch.setattr(models, "MultilayerPerceptronClassifier", counted)
+    fitted = models.EarlyStoppedNetwork(hidden=(8,), max_iterations=400, step=10, tolerance=0.02).fit(df)
+    assert 2 < len(rounds) < 40 and set(rounds) == {10}
+    right = fitted.transform(df).filter("prediction = label").count()
+    assert right > 540
