@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ from tallyback.llm.common import arrow_map, document_texts
 from tallyback.llm.text import texts_of
 
 # Words a worker remembers, the rarer half of which it then drops; a bound on memory, not on what is encoded.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 160_000
+# Bytes of words whose merges are replayed together; a bound on memory too.
+REPLAYED_BYTES = 1 << 18
 # Longer words are encoded but not remembered.
 LONG_WORD = 256
 # Token numbers of a pair are packed into one integer; END stands behind every word.
@@ -136,10 +138,15 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self._token[i] for i in ids])
 
-    def encode_words(self, words: list[str]) -> list[tuple[str, int, bytes]]:
-        replayed = replay_merges([w.encode() for w in words], self._letters, self._table)
-        digits = self._digits
-        return [(" ".join([digits[i] for i in ids]), len(ids), self.decode(ids)) for ids in replayed]
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, int, bytes]]:
+        digits, group, held = self._digits, [], 0
+        for i, word in enumerate(words, 1):
+            group.append(word.encode())
+            held += len(group[-1])
+            if held >= REPLAYED_BYTES or i == len(words):
+                for ids in replay_merges(group, self._letters, self._table):
+                    yield " ".join([digits[i] for i in ids]), len(ids), self.decode(ids)
+                group, held = [], 0
 
     def encode(self, texts: list[str]) -> Iterable[tuple[str, int, bytes]]:
         """Per text: ids as decimal text joined by one space, their number, and the bytes the ids stand for."""
