@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyback.functions import columns as C
+from tallyback.operators.asof import totals_before
 from tallyback.operators.ranks import first_row_per_key, percent_ranks
 from tallyback.sources.tables import Tables
 
@@ -410,19 +411,17 @@ def customer_snapshot_panel(t: Tables, calendar: SnapshotCalendar | None = None)
 
 
 def history_before(t: Tables, calendar: SnapshotCalendar) -> DataFrame:
-    """Order count and spend before each snapshot by repeating every order for all later snapshots.
+    """Order count and spend before each snapshot as an as-of join of the orders' users and the snapshot dates.
 
-    The direct form the panel is checked against: its cost grows with the
-    number of snapshots, so the panel itself uses the running form.
+    It goes by the timestamps themselves, which makes it a check of the panel,
+    whose facts are dealt to snapshots by number.
     """
-    following = F.sequence(calendar.index_of_next(F.col("order_date")), F.lit(len(calendar.dates)))
-    return (
-        t["orders"]
-        .select("user_id", "total_amount", F.explode(following).alias("snapshot_no"))
-        .groupBy("user_id", "snapshot_no")
-        .agg(F.count(F.lit(1)).alias("order_count"), F.sum("total_amount").alias("total_spend"))
-        .select("user_id", calendar.date_at(F.col("snapshot_no")).alias("snapshot_date"), "order_count", "total_spend")
-    )
+    dates = F.array(*[F.lit(d).cast("timestamp_ntz") for d in calendar.dates])
+    first = t["orders"].groupBy("user_id").agg(F.min("order_date").alias("first_order"))
+    points = first.select("user_id", "first_order", F.explode(dates).alias("order_date")).filter("first_order < order_date")
+    sums = {"order_count": F.lit(1).cast("bigint"), "total_spend": F.col("total_amount")}
+    found = totals_before(t["orders"], points.drop("first_order"), "user_id", "order_date", sums)
+    return found.withColumnRenamed("order_date", "snapshot_date")
 
 
 def current_customers(t: Tables, calendar: SnapshotCalendar | None = None) -> DataFrame:

@@ -219,37 +219,37 @@ def metric_rows(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return df.agg(*[expr.alias(k) for k, expr in zip(keys, metrics.values())]).select(F.inline(entries))
 
 
+def _overall_metrics() -> dict[str, Column]:
+    amount, returned = F.col("total_amount"), C.returned_flag(F.col("order_status"))
+    returned_value = F.sum(F.when(returned == 1, amount))
+    return {
+        "Orders": F.count(F.lit(1)),
+        "Returned orders": F.sum(returned),
+        "Overall return rate": F.avg(returned),
+        "Total order value": F.sum(amount),
+        "Returned order value": returned_value,
+        "Returned value share": C.ratio(returned_value, F.sum(amount)),
+        "Non-returned order value": F.sum(F.when(returned == 0, amount)),
+        "Orders with usable total_amount": F.count(amount),
+    }
+
+
 def overall_kpis(t: Tables) -> DataFrame:
-    o = t["orders"].withColumn("returned", C.returned_flag(F.col("order_status")))
-    amount = F.col("total_amount")
-    returned_value = F.sum(F.when(F.col("returned") == 1, amount))
-    return metric_rows(
-        o,
-        {
-            "Orders": F.count(F.lit(1)),
-            "Returned orders": F.sum("returned"),
-            "Overall return rate": F.avg("returned"),
-            "Total order value": F.sum(amount),
-            "Returned order value": returned_value,
-            "Returned value share": C.ratio(returned_value, F.sum(amount)),
-            "Non-returned order value": F.sum(F.when(F.col("returned") == 0, amount)),
-            "Orders with usable total_amount": F.count(amount),
-        },
-    )
+    return metric_rows(t["orders"], _overall_metrics())
+
+
+def _two_base_metrics() -> dict[str, Column]:
+    kept = F.coalesce(F.lower("order_status") != "cancelled", F.lit(True))
+    flag = C.returned_flag(F.col("order_status"))
+    return {
+        "Return rate, all orders": F.avg(flag),
+        "Return rate, orders not cancelled": F.avg(F.when(kept, flag)),
+    }
 
 
 def return_rate_two_bases(t: Tables) -> DataFrame:
     """Return rate over all orders and over orders that were not cancelled."""
-    status = F.lower("order_status")
-    kept = F.coalesce(status != "cancelled", F.lit(True))
-    flag = C.returned_flag(F.col("order_status"))
-    return metric_rows(
-        t["orders"],
-        {
-            "Return rate, all orders": F.avg(flag),
-            "Return rate, orders not cancelled": F.avg(F.when(kept, flag)),
-        },
-    )
+    return metric_rows(t["orders"], _two_base_metrics())
 
 
 def value_concentration(t: Tables, thresholds: list[float]) -> DataFrame:
@@ -274,14 +274,15 @@ def value_concentration(t: Tables, thresholds: list[float]) -> DataFrame:
     return returned.agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("v"), *totals).select(F.inline(rows))
 
 
-def lost_value_share(t: Tables) -> DataFrame:
-    """Returned plus cancelled value over gross order value."""
+def _lost_metrics() -> dict[str, Column]:
     amount, status = F.col("total_amount"), F.lower("order_status")
     lost = F.sum(F.when(status.isin("returned", "cancelled"), amount))
-    return metric_rows(
-        t["orders"],
-        {"Gross order value": F.sum(amount), "Lost value": lost, "Lost value share": C.ratio(lost, F.sum(amount))},
-    )
+    return {"Gross order value": F.sum(amount), "Lost value": lost, "Lost value share": C.ratio(lost, F.sum(amount))}
+
+
+def lost_value_share(t: Tables) -> DataFrame:
+    """Returned plus cancelled value over gross order value."""
+    return metric_rows(t["orders"], _lost_metrics())
 
 
 # ---------------------------------------------------------------- segments and tests
@@ -636,9 +637,8 @@ def value_route(t: Tables, low: float = 25.0, high: float = 1000.0) -> DataFrame
     return t["orders"].filter(F.col("order_status") == "returned").select("order_id", "user_id", "total_amount", route.alias("route"))
 
 
-def linkage_checks(t: Tables) -> DataFrame:
-    """The ten link and parse checks with their denominators."""
-    orders = t["orders"]
+def link_checks(t: Tables) -> DataFrame:
+    """The checks that follow keys from one table to another."""
     orphans = foreign_key_orphans(t).select(
         F.col("link").alias("check_name"), F.col("orphan_rows").alias("failing_rows"), F.col("child_rows").alias("denominator")
     )
@@ -650,37 +650,48 @@ def linkage_checks(t: Tables) -> DataFrame:
         F.col("orders_before_signup").alias("failing_rows"),
         F.col("comparable_orders").alias("denominator"),
     )
+    return union_all([orphans, mismatches, early])
+
+
+def linkage_checks(t: Tables) -> DataFrame:
+    """The ten link and parse checks with their denominators."""
     rows = F.array(
         F.struct(F.lit("order_amount_unusable").alias("check_name"), F.col("bad_amount").alias("failing_rows"), F.col("n").alias("denominator")),
         F.struct(F.lit("order_date_unusable").alias("check_name"), F.col("bad_date").alias("failing_rows"), F.col("n").alias("denominator")),
     )
-    unusable = orders.agg(
+    unusable = t["orders"].agg(
         F.count_if(F.col("total_amount").isNull()).alias("bad_amount"),
         F.count_if(F.col("order_date").isNull()).alias("bad_date"),
         F.count(F.lit(1)).alias("n"),
     ).select(F.inline(rows))
-    return union_all([orphans, mismatches, early, unusable])
+    return union_all([link_checks(t), unusable])
 
 
 def returns_scorecard(t: Tables, mart: DataFrame, thresholds: list[float]) -> DataFrame:
-    """One (metric, value) table: KPIs, both return rates, lost value, concentration, checks, test strength."""
-    concentration = value_concentration(t, thresholds)
-    parts = [
-        overall_kpis(t),
-        return_rate_two_bases(t),
-        lost_value_share(t),
-        concentration.select(
-            F.format_string("Share of returned value above %.0f", "amount_above").alias("metric"),
-            F.col("value_share").alias("value"),
-        ),
-        linkage_checks(t).select(
-            F.concat(F.lit("Check: "), "check_name").alias("metric"), F.col("failing_rows").cast("double").alias("value")
-        ),
-        chi_square(segment_counts(mart)).agg(F.max("cramers_v").alias("value")).select(
-            F.lit("Strongest segment association (Cramer's V)").alias("metric"), "value"
-        ),
-    ]
-    return union_all(parts)
+    """One (metric, value) table: KPIs, both return rates, lost value, concentration, checks, test strength.
+
+    Everything that is a figure of the orders alone comes from one aggregate over them.
+    """
+    amount, returned = F.col("total_amount"), F.col("order_status") == "returned"
+    returned_value = F.sum(F.when(returned, amount))
+    shares = {
+        f"Share of returned value above {limit:.0f}": C.ratio(
+            F.sum(F.when(returned, F.when(amount > F.lit(float(limit)), amount).otherwise(0.0))), returned_value
+        )
+        for limit in thresholds
+    }
+    unusable = {
+        "Check: order_amount_unusable": F.count_if(amount.isNull()),
+        "Check: order_date_unusable": F.count_if(F.col("order_date").isNull()),
+    }
+    links = link_checks(t).select(
+        F.concat(F.lit("Check: "), "check_name").alias("metric"), F.col("failing_rows").cast("double").alias("value")
+    )
+    strength = chi_square(segment_counts(mart)).agg(F.max("cramers_v").alias("value")).select(
+        F.lit("Strongest segment association (Cramer's V)").alias("metric"), "value"
+    )
+    figures = _overall_metrics() | _two_base_metrics() | _lost_metrics() | shares | unusable
+    return union_all([metric_rows(t["orders"], figures), links, strength])
 
 
 def cost_benefit_scenarios(t: Tables, scenarios: list[tuple[str, float, float, float]]) -> DataFrame:
