@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyback.session import cut_lineage
 
 _FINE = 4  # each cell is cut into _FINE parts per axis to decide which cells touch
+COMPARED = 256  # most point pairs of two boxes that are compared instead of halving the boxes
 
 
 def _sum_of_squares(parts: list[Column]) -> Column:
@@ -73,42 +74,105 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _touching_cells(core: DataFrame, columns: list[str], reach: float, side: float) -> DataFrame:
-    """Pairs of cells holding core points within reach of each other.
+def _extents(points: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """Corners and number of the points of each box."""
+    corners = [f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy("cell", "box", *keys).agg(F.count(F.lit(1)).alias("points"), *corners)
 
-    Core points fold into boxes, at most _FINE^d per cell however many points
-    there are. Two boxes whose farthest corners are within reach prove a link,
-    boxes too far apart rule it out; only cell pairs left open compare the
-    points of their open boxes.
-    """
-    fine = side / _FINE
-    boxed = core.withColumns({f"fine_{c}": F.floor(F.col(c) / fine) for c in columns})
-    boxed = boxed.withColumn("box", _cell_key([F.col(f"fine_{c}") for c in columns]))
-    extent = [f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = cut_lineage(boxed.groupBy("cell", "box", *[f"cell_{c}" for c in columns]).agg(*extent))
-    near = _with_reachable(boxes, columns, "other_cell").filter(F.col("cell") < F.col("other_cell"))
-    pairs = _side(near, "a").join(_side(boxes, "b"), F.col("a_other_cell") == F.col("b_cell"))
+
+def _judged(pairs: DataFrame, columns: list[str], reach: float) -> DataFrame:
+    """Box pairs that may hold points within reach; ``sure`` where all of their points are."""
     gaps = [
         F.greatest(F.lit(0.0), F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}")) for c in columns
     ]
     spans = [F.greatest(F.col(f"a_hi_{c}") - F.col(f"b_lo_{c}"), F.col(f"b_hi_{c}") - F.col(f"a_lo_{c}")) for c in columns]
-    judged = cut_lineage(
-        pairs.select(
-            F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), "a_box", "b_box",
-            (_sum_of_squares(spans) <= reach * reach).alias("sure"), (_sum_of_squares(gaps) <= reach * reach).alias("possible"),
-        ).filter("possible")
+    return pairs.filter(_sum_of_squares(gaps) <= reach * reach).select(
+        "a_cell", "b_cell", "a_box", "b_box",
+        (F.col("a_points") * F.col("b_points")).alias("work"), (_sum_of_squares(spans) <= reach * reach).alias("sure"),
     )
-    sure = judged.filter("sure").select("a", "b").distinct()
-    open_boxes = judged.join(sure, ["a", "b"], "left_anti")
-    points = boxed.select("box", *columns)
-    compared = (
-        open_boxes.join(_side(points, "a"), "a_box")
-        .join(_side(points, "b"), "b_box")
-        .filter(_squared_distance(columns, "a", "b") <= reach * reach)
-        .select("a", "b")
-        .distinct()
-    )
-    return sure.unionByName(compared)
+
+
+def _halved(points: DataFrame, boxes: DataFrame, columns: list[str]) -> DataFrame:
+    """The points of ``boxes``, each axis of a box cut at the middle of its extent; any two unequal points part in the end."""
+    edges = [f"{n}_{c}" for c in columns for n in ("lo", "hi")]
+    halves = []
+    for c in columns:
+        low, high = F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        middle = (low + high) / 2
+        halves.append(F.when(middle >= high, F.col(c) >= high).otherwise(F.col(c) > middle).cast("int").cast("string"))
+    inside = points.join(boxes.select("cell", "box", *edges), ["cell", "box"])
+    return inside.select("cell", *columns, F.col("box").alias("parent"), F.concat("box", F.lit("/"), *halves).alias("box"))
+
+
+def _cell_components(core: DataFrame, columns: list[str], reach: float, side: float) -> DataFrame:
+    """(node, component) of the cells: linked where core points of both lie within reach.
+
+    Core points fold into boxes, at first at most _FINE^d per cell however many
+    points there are. Two boxes whose farthest corners are within reach prove a
+    link, boxes too far apart rule it out. Cells proven linked are united
+    before anything finer is done, so points are only ever looked at between
+    different components: a pair of boxes of few points is compared, in larger ones
+    every axis is halved and the parts are judged again. Work follows the pairs
+    of cells that nearly touch, not the points of dense ones.
+    """
+    nodes = cut_lineage(core.select(F.col("cell").alias("node")).distinct())
+    fine = side / _FINE
+    box = _cell_key([F.floor(F.col(c) / fine) for c in columns])
+    points = core.select("cell", *[f"cell_{c}" for c in columns], *columns, box.alias("box"))
+    boxes = cut_lineage(_extents(points, columns, *[f"cell_{c}" for c in columns]))
+    near = _with_reachable(boxes, columns, "other_cell").filter(F.col("cell") < F.col("other_cell"))
+    pairs = _side(near, "a").join(_side(boxes, "b"), F.col("a_other_cell") == F.col("b_cell"))
+    points = points.select("cell", "box", *columns)
+    judged = cut_lineage(_judged(pairs, columns, reach))
+    links = judged.filter("sure").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")).distinct()
+    labels = cut_lineage(connected_components(links, nodes))
+    left = _between(judged.filter("NOT sure"), labels)
+    while not left.isEmpty():
+        compared = (
+            left.filter(F.col("work") <= COMPARED)
+            .join(_side(points, "a"), ["a_cell", "a_box"])
+            .join(_side(points, "b"), ["b_cell", "b_box"])
+            .filter(_squared_distance(columns, "a", "b") <= reach * reach)
+        )
+        labels = _united(labels, compared)
+        left = _between(left.filter(F.col("work") > COMPARED), labels)
+        if left.isEmpty():
+            break
+        open_boxes = left.select(F.col("a_cell").alias("cell"), F.col("a_box").alias("box")).union(left.select("b_cell", "b_box")).distinct()
+        points = cut_lineage(_halved(points, boxes.join(open_boxes, ["cell", "box"]), columns))
+        boxes = cut_lineage(_extents(points, columns, "parent"))
+        points = points.drop("parent")
+        one = _side(boxes, "a").withColumnRenamed("a_box", "a_part").withColumnRenamed("a_parent", "a_box")
+        two = _side(boxes, "b").withColumnRenamed("b_box", "b_part").withColumnRenamed("b_parent", "b_box")
+        parts = left.select("a_cell", "b_cell", "a_box", "b_box").join(one, ["a_cell", "a_box"]).join(two, ["b_cell", "b_box"])
+        parts = parts.drop("a_box", "b_box").withColumnsRenamed({"a_part": "a_box", "b_part": "b_box"})
+        boxes = boxes.drop("parent")
+        judged = cut_lineage(_judged(parts, columns, reach))
+        labels = _united(labels, judged.filter("sure"))
+        left = _between(judged.filter("NOT sure"), labels)
+    return labels
+
+
+def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of cells with the components of both ends."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(f"{end}_cell"), F.col("component").alias(f"{end}_component")), f"{end}_cell")
+    return pairs
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose cells are still in different components."""
+    return cut_lineage(_ends(pairs, labels).filter("a_component <> b_component").drop("a_component", "b_component"))
+
+
+def _united(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """Labels after the linked pairs of cells unite the components of their ends."""
+    links = cut_lineage(_ends(linked.select("a_cell", "b_cell").distinct(), labels).select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).distinct())
+    if links.isEmpty():
+        return labels
+    roots = connected_components(links, labels.select(F.col("component").alias("node")).distinct())
+    merged = labels.withColumnRenamed("component", "old").join(roots.withColumnRenamed("node", "old"), "old")
+    return cut_lineage(merged.select("node", "component"))
 
 
 def density_clusters(df: DataFrame, key: str, columns: list[str], reach: float, min_points: int) -> DataFrame:
@@ -139,8 +203,7 @@ def density_clusters(df: DataFrame, key: str, columns: list[str], reach: float,
         marked.join(crowd, columns, "left").withColumn("core", F.col("dense") | (F.coalesce("crowd", F.lit(0)) >= min_points))
     )
     core = judged.filter("core")
-    nodes = core.select(F.col("cell").alias("node")).distinct()
-    labels = cut_lineage(connected_components(_touching_cells(core, columns, reach, side), nodes))
+    labels = _cell_components(core, columns, reach, side)
     core_labelled = core.join(labels.withColumnRenamed("node", "cell"), "cell").select("cell", "component", *columns)
 
     border = _with_reachable(judged.filter("NOT core"), columns, "target")

@@ -142,7 +142,10 @@ def brute_density(points, reach, min_points):
     return near, core, comp
 
 
-def test_density_clusters_match_brute_force(spark, rng):
+@pytest.mark.parametrize("compared", [0, 256])
+def test_density_clusters_match_brute_force(spark, monkeypatch, compared):
+    monkeypatch.setattr(density, "COMPARED", compared)  # 0: boxes are halved until their corners decide
+    rng = np.random.default_rng(11)
     points = np.vstack(
         [rng.normal(0, 0.3, (300, 3)), rng.normal(4, 0.5, (200, 3)), rng.uniform(-6, 10, (120, 3)), np.repeat([[9.0, -9.0, 0.0]], 20, axis=0)]
         + [np.column_stack([np.linspace(1, 3.2, 60), np.linspace(1, 3.2, 60), np.linspace(1, 3.2, 60)])]
@@ -162,6 +165,17 @@ def test_density_clusters_match_brute_force(spark, rng):
         assert got[i] == (-1 if not reachable else got[i]) and (not reachable or got[i] in reachable)
 
 
+def test_density_clusters_at_the_reach_itself(spark, monkeypatch):
+    """Two dense blocks one reach apart, exactly and just beyond, told apart by halving alone."""
+    monkeypatch.setattr(density, "COMPARED", 0)
+    grid = [(float(x), float(y)) for x in range(8) for y in range(8)]
+    tie = [(x + 15.0, y) for x, y in grid]  # nearest columns 7 and 15: exactly 8 apart
+    beyond = [(x + 30.5, y) for x, y in grid]  # 22 and 30.5: 8.5 apart
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(grid + tie + beyond)], "id int, x double, y double")
+    got = {r.id: r.cluster for r in density.density_clusters(df, "id", ["x", "y"], 8.0, 5).collect()}
+    assert {got[i] for i in range(128)} == {0} and {got[i] for i in range(128, 192)} == {1}
+
+
 def test_connected_components_of_a_path(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60) if i != 30], "a string, b string")
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(62)], "node string")
