@@ -252,6 +252,13 @@ SQL: dict[str, str] = {
       {dbl('avg(CASE WHEN abs(total_amount - s) > 0.01 THEN 1.0 ELSE 0 END)', 'gap_rate')}
     FROM r_orders LEFT JOIN (SELECT order_id, count(*) AS c, sum(item_total) AS s FROM r_items GROUP BY 1) USING (order_id)"""
     ),
+    "enriched_items": with_views(
+        f"""SELECT order_item_id, i.order_id, product_id, i.user_id, {dbl('quantity', 'quantity', 8)}, {dbl('item_price', 'item_price', 8)},
+      {dbl('item_total', 'item_total', 8)}, category, brand, {dbl('price', 'catalogue_price', 8)}, {stamp('order_date', 'order_date')},
+      {dbl('item_price / nullif(price, 0)', 'price_ratio', 8)}, {dbl('quantity * item_price', 'line_total', 8)},
+      {dbl('item_total - quantity * item_price', 'line_gap', 8)}
+    FROM r_items i LEFT JOIN r_products USING (product_id) LEFT JOIN r_orders o ON i.order_id = o.order_id"""
+    ),
     "order_breadth_rollup": with_views(
         ITEM_DIMS,
         f"""SELECT order_id, {num('count(DISTINCT order_item_id)', 'item_line_count')}, {dbl('sum(quantity)', 'total_quantity', 8)},

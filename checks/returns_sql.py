@@ -1,6 +1,6 @@
 """DuckDB statements for the catalogue entries of ``tallyback.catalog_returns``."""
 
-from checks.views import CUSTOMERS, ITEM_PRODUCT, MART, MONTHS, SEGMENTS, day, dbl, num, stamp, with_views
+from checks.views import CUSTOMERS, ITEM_PRODUCT, MART, MONTHS, PRODUCTS, SEGMENTS, day, dbl, num, stamp, with_views
 
 LOW, HIGH = "100000.0", "400000.0"
 TABLES = ["events", "order_items", "orders", "products", "reviews", "users"]
@@ -210,6 +210,15 @@ SUMMARY = {
     "Returned value for unusual customers above expectation": "coalesce(sum(v) FILTER (WHERE unusual AND direction = 'Above expectation'), 0)",
     "Unusual customers below expectation": "count(*) FILTER (WHERE unusual AND direction = 'Below expectation')",
 }
+PRODUCT_SUMMARY = {
+    "Products tested": "count(*)",
+    "Unusual products": "count(*) FILTER (WHERE unusual)",
+    "Unusual products above expectation": "count(*) FILTER (WHERE unusual AND direction = 'Above expectation')",
+    "Unusual products below expectation": "count(*) FILTER (WHERE unusual AND direction = 'Below expectation')",
+    "Unusual products by chance, at most": "count(*) * 0.01",
+    "Smallest p-value": "min(pval)",
+    "Bonferroni p-value of the smallest": "least(1.0, min(pval) * count(*))",
+}
 
 # Upper tail of chi-square: one minus the series of the regularised incomplete gamma function.
 TAILS = """
@@ -443,6 +452,18 @@ SQL: dict[str, str] = {
     "unusual_customers": with_views(
         CUSTOMERS, f"SELECT {CUSTOMER_COLUMNS}, {dbl('pval', 'binomial_p_value')}, unusual, direction FROM tested"
     ),
+    "unusual_products": with_views(
+        PRODUCTS,
+        f"""SELECT product_id, {num('n', 'product_orders')}, {num('k', 'product_returns')}, {dbl('expected', 'expected_returns')},
+      {dbl('pval', 'binomial_p_value')}, unusual, direction FROM tested""",
+    ),
+    "product_binomial_summary": with_views(PRODUCTS, _metrics("tested", PRODUCT_SUMMARY, 4)),
+    "tested_segments": with_views(
+        SEGMENTS,
+        TAILS,
+        f"""SELECT dimension, level, {num('orders')}, {num('returned_orders')}, {RATE}, {dbl('chi2', 'chi2')}, {dbl('p', 'p_value')},
+      {dbl('sqrt(chi2 / n)', 'cramers_v')} FROM seg JOIN tails USING (dimension)""",
+    ),
     "monthly_trend_forecast": MONTH_BASE + _forecast(False),
     "monthly_trend_full_months": MONTH_BASE + _forecast(True),
     "value_route": with_views(

@@ -131,16 +131,12 @@ tests AS (
 """
 )
 
-CUSTOMERS = """
-pooled AS (SELECT avg(CASE WHEN order_status = 'returned' THEN 1.0 ELSE 0 END) AS p FROM r_orders),
-cust AS (
-  SELECT u.user_id, coalesce(n, 0) AS n, coalesce(k, 0) AS k, p, coalesce(n, 0) * p AS expected,
-         CASE WHEN coalesce(k, 0) = 0 THEN 0.0 ELSE v END AS v, coalesce(c, 0) AS c
-  FROM (SELECT DISTINCT user_id FROM r_users) u
-  LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE order_status = 'returned') AS k,
-                    sum(total_amount) FILTER (WHERE order_status = 'returned') AS v,
-                    count(total_amount) FILTER (WHERE order_status = 'returned') AS c
-             FROM r_orders WHERE user_id IS NOT NULL GROUP BY user_id) USING (user_id), pooled),
+POOLED = """
+pooled AS (SELECT avg(CASE WHEN order_status = 'returned' THEN 1.0 ELSE 0 END) AS p FROM r_orders)
+"""
+
+# From counts n, k per row of cust to p-values.
+BINOMIAL = """
 pairs AS (SELECT DISTINCT n, k, p FROM cust),
 pmf AS (
   SELECT n, i, exp(CASE WHEN n = 0 THEN 0 ELSE lgamma(n + 1) - lgamma_safe_i - lgamma_safe_r + i * ln(p) + (n - i) * ln(1 - p) END) AS f
@@ -157,6 +153,34 @@ tested AS (
   FROM cust JOIN pv USING (n, k))
 """
 
+CUSTOMERS = (
+    POOLED.rstrip()
+    + """,
+cust AS (
+  SELECT u.user_id, coalesce(n, 0) AS n, coalesce(k, 0) AS k, p, coalesce(n, 0) * p AS expected,
+         CASE WHEN coalesce(k, 0) = 0 THEN 0.0 ELSE v END AS v, coalesce(c, 0) AS c
+  FROM (SELECT DISTINCT user_id FROM r_users) u
+  LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE order_status = 'returned') AS k,
+                    sum(total_amount) FILTER (WHERE order_status = 'returned') AS v,
+                    count(total_amount) FILTER (WHERE order_status = 'returned') AS c
+             FROM r_orders WHERE user_id IS NOT NULL GROUP BY user_id) USING (user_id), pooled)
+"""
+    + ",\n"
+    + BINOMIAL.strip()
+)
+
+# Orders and returned orders per product bought; an order counts once however many of its lines hold the product.
+PRODUCTS = (
+    POOLED.rstrip()
+    + """,
+cust AS (
+  SELECT product_id, count(*) AS n, count(*) FILTER (WHERE order_status = 'returned') AS k, any_value(p) AS p, count(*) * any_value(p) AS expected
+  FROM (SELECT DISTINCT order_id, product_id FROM r_items WHERE product_id IS NOT NULL) JOIN r_orders USING (order_id), pooled
+  GROUP BY product_id),
+"""
+    + BINOMIAL.strip()
+)
+
 MONTHS = """
 mon AS (
   SELECT date_trunc('month', order_date) AS month, count(*) FILTER (WHERE order_status = 'returned') AS c,

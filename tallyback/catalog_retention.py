@@ -144,6 +144,7 @@ MONEY = (
 QUERIES: dict[str, Query] = {
     "event_filter": on_tables(lambda t: N.engagement_events(t).select("event_id", "event_type")),
     "date_range_filter": on_tables(_date_ranges),
+    "enriched_items": on_tables(N.enriched_items, digits=8),
     "order_reconcile": on_tables(N.reconciled_orders, money=MONEY),
     "reconciliation_summary": on_tables(N.reconciliation_summary),
     "order_breadth_rollup": on_tables(N.order_breadth_rollup, digits=8, money=("item_total_sum",)),

@@ -262,6 +262,9 @@ QUERIES: dict[str, Query] = {
         lambda t: R.binomial_returns_test(R.customer_returns(t)).select("user_id", "customer_orders", "customer_returns", "binomial_p_value")
     ),
     "unusual_customers": on_tables(_detail, money=MONEY),
+    "unusual_products": on_tables(R.unusual_products),
+    "product_binomial_summary": on_tables(lambda t: R.product_binomial_summary(R.unusual_products(t)), digits=4),
+    "tested_segments": on_tables(lambda t: R.tested_segments(R.order_mart(t))),
     # months and decisions
     "monthly_trend_forecast": on_tables(
         lambda t: R.monthly_forecast(t, full_months_only=False).drop("period_status", "included_in_trend_fit"), digits=2

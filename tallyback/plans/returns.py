@@ -382,6 +382,17 @@ def with_p_values(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p_value", tail(F.col("chi2"), F.col("degrees_freedom").cast("double")))
 
 
+def tested_segments(mart: DataFrame) -> DataFrame:
+    """Return rate per level of the eight order dimensions, each row with the test of its dimension.
+
+    The counts are written once and give both the rows and the tests.
+    """
+    counts = settle(segment_counts(mart))
+    tests = with_p_values(chi_square(counts)).select("dimension", "chi2", "p_value", "cramers_v")
+    rates = counts.withColumn("return_rate", F.col("returned_orders") / F.col("orders"))
+    return rates.join(F.broadcast(tests), "dimension")  # one row per tested dimension
+
+
 def with_bonferroni(tests: DataFrame) -> DataFrame:
     """p-value times the number of usable tests, at most 1. One row per test, so the bare window is tiny."""
     everything = Window.partitionBy()
@@ -483,37 +494,72 @@ def customer_returns(t: Tables) -> DataFrame:
     )
 
 
-def binomial_returns_test(customers: DataFrame) -> DataFrame:
-    """Exact two-sided p-value per customer.
+def binomial_test(df: DataFrame, trials: str, successes: str, rate: str) -> DataFrame:
+    """Exact two-sided p-value per row.
 
-    Only distinct (orders, returns) pairs are evaluated; their number follows
-    the spread of order counts, not the number of customers, and is measured
+    Only distinct (trials, successes) pairs are evaluated; their number follows
+    the spread of the counts, not the number of rows, and is measured
     before the pairs are sent to the tasks.
     """
-    pairs = customers.select("customer_orders", "customer_returns", "pooled_rate").distinct()
     p_value = F.pandas_udf(binomial_p_values, "double")
-    tested = settle(
-        pairs.select(
-            "customer_orders",
-            "customer_returns",
-            p_value("customer_returns", "customer_orders", "pooled_rate").alias("binomial_p_value"),
-        )
+    pairs = df.select(trials, successes, rate).distinct()
+    tested = settle(pairs.select(trials, successes, p_value(successes, trials, rate).alias("binomial_p_value")))
+    return df.join(tested, [trials, successes])
+
+
+def binomial_returns_test(customers: DataFrame) -> DataFrame:
+    return binomial_test(customers, "customer_orders", "customer_returns", "pooled_rate")
+
+
+def product_returns(t: Tables) -> DataFrame:
+    """Per product bought: orders that hold it, how many were returned, and how many chance alone would return."""
+    flag = C.returned_flag(F.col("order_status"))
+    orders = t["orders"].select("order_id", flag.alias("returned"))
+    pooled = orders.agg(F.avg("returned")).scalar()
+    held = t["order_items"].filter("product_id IS NOT NULL").select("order_id", "product_id").distinct()
+    counts = held.join(orders, "order_id").groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("product_orders"), F.sum("returned").alias("product_returns")
     )
-    return customers.join(tested, ["customer_orders", "customer_returns"])
+    return counts.withColumns({"expected_returns": F.col("product_orders") * pooled, "pooled_rate": pooled})
 
 
-def unusual_customers(tested: DataFrame) -> DataFrame:
-    observed, expected = F.col("customer_returns"), F.col("expected_returns")
+def unusual_products(t: Tables, limit: float = 0.01) -> DataFrame:
+    """Products tested against the pooled return rate, as customers are."""
+    tested = binomial_test(product_returns(t), "product_orders", "product_returns", "pooled_rate")
+    return _against_chance(tested, "product_returns", limit).drop("pooled_rate")
+
+
+def product_binomial_summary(products: DataFrame, limit: float = 0.01) -> DataFrame:
+    """Flagged products beside the number that chance alone would flag at most."""
+    above = F.col("direction") == "Above expectation"
+    return metric_rows(
+        products,
+        {
+            "Products tested": F.count(F.lit(1)),
+            "Unusual products": F.count_if("unusual"),
+            "Unusual products above expectation": F.count_if(F.col("unusual") & above),
+            "Unusual products below expectation": F.count_if(F.col("unusual") & (F.col("direction") == "Below expectation")),
+            "Unusual products by chance, at most": F.count(F.lit(1)) * F.lit(limit),
+            "Smallest p-value": F.min("binomial_p_value"),
+            "Bonferroni p-value of the smallest": F.least(F.lit(1.0), F.min("binomial_p_value") * F.count(F.lit(1))),
+        },
+    )
+
+
+def _against_chance(tested: DataFrame, observed: str, limit: float = 0.01) -> DataFrame:
+    seen, expected = F.col(observed), F.col("expected_returns")
     return tested.withColumns(
         {
-            "unusual": F.col("binomial_p_value") < 0.01,
-            "direction": F.when(observed > expected, "Above expectation")
-            .when(observed < expected, "Below expectation")
-            .otherwise("At expectation"),
+            "unusual": F.col("binomial_p_value") < limit,
+            "direction": F.when(seen > expected, "Above expectation").when(seen < expected, "Below expectation").otherwise("At expectation"),
         }
     )
 
 
+def unusual_customers(tested: DataFrame) -> DataFrame:
+    return _against_chance(tested, "customer_returns")
+
+
 def customer_binomial_summary(unusual: DataFrame) -> DataFrame:
     high = F.col("unusual") & (F.col("direction") == "Above expectation")
     low = F.col("unusual") & (F.col("direction") == "Below expectation")
