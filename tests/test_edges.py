@@ -401,3 +401,23 @@ def test_shuffled_labels_keep_the_class_counts(spark):
     assert out.count() == 1000 and out.agg(F.sum("label")).first()[0] == 300
     agree = df.withColumnRenamed("label", "was").join(out, "k").filter("was = label").count()
     assert agree == pytest.approx(580, abs=60)
+
+
+def test_products_against_chance(make):
+    t = make(
+        orders=[{"order_id": f"o{i}", "user_id": "u1", "order_status": "returned" if i < 10 else "completed"} for i in range(40)],
+        order_items=[
+            *[{"order_item_id": f"a{i}", "order_id": f"o{i}", "product_id": "bad"} for i in range(10)],
+            *[{"order_item_id": f"b{i}", "order_id": f"o{i}", "product_id": "good"} for i in range(8, 12)],
+            {"order_item_id": "again", "order_id": "o0", "product_id": "bad"},
+            {"order_item_id": "none", "order_id": "o1", "product_id": None},
+            {"order_item_id": "orphan", "order_id": "unknown", "product_id": "lost"},
+        ],
+    )
+    found = {r.product_id: r for r in R.unusual_products(t).collect()}
+    assert set(found) == {"bad", "good"}
+    assert (found["bad"].product_orders, found["bad"].product_returns, found["bad"].expected_returns) == (10, 10, 2.5)
+    assert found["bad"].unusual and found["bad"].direction == "Above expectation"
+    assert found["good"].binomial_p_value == pytest.approx(binomial_two_sided(2, 4, 0.25)) and not found["good"].unusual
+    figures = {r.metric: r.value for r in R.product_binomial_summary(R.unusual_products(t)).collect()}
+    assert (figures["Products tested"], figures["Unusual products"], figures["Unusual products above expectation"]) == (2, 1, 1)
