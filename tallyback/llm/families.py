@@ -35,9 +35,10 @@ def distinct_families(shared: DataFrame) -> DataFrame:
     firsts = cut_lineage(
         shared.groupBy("digit", "whole").agg(F.min(F.struct("doc_id", "at", "n")).alias("first"), F.count(F.lit(1)).alias("copies"))
     )
-    kinds = firsts.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds"))
+    # Written first: a join of two scans is one that adaptive execution can split at a hot digit.
+    kinds = cut_lineage(firsts.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")))
     out = cut_lineage(firsts.join(kinds, "digit").select("digit", "whole", "first.doc_id", "first.at", "first.n", "copies", "kinds"))
-    release(firsts)
+    release(firsts, kinds)
     return out
 
 
