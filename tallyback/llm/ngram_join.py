@@ -379,9 +379,11 @@ def ngram_components(
     release(start, ordered)
     comp = components(near.union(far))
 
-    member = sketched.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
-    joined = member.join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
-    root = F.coalesce("component", "class_id", "doc_id")
+    # One row per class here; the only join that meets a hot class is the last, between shuffles that can be split.
+    rooted = classes.join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
+    rooted = rooted.select("k1", "k2", "n", F.coalesce("component", "class_id").alias("root"))
+    joined = sketched.select("doc_id", "n", "k1", "k2").join(rooted, ["k1", "k2", "n"], "left")
+    root = F.coalesce("root", "doc_id")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), root).otherwise(F.col("doc_id")).alias("component_id")
     )
