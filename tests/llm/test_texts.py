@@ -15,7 +15,10 @@ from tallyback.llm.fingerprints import Sampler, compare_edited_and_next, fingerp
 from tallyback.llm.line_dedup import remove_widespread_lines
 from tallyback.llm.mixing import mix_sources, mixed_documents
 from tallyback.llm.preferences import format_preferences
-from tallyback.llm.pu_quality import estimate_prior, keep_good_documents, score_quality
+from tallyback.llm.pu_quality import (
+    FEATURES, HIDDEN, Network, estimate_prior, feature_moments, keep_good_documents, risk_step, score_quality, tail_counts,
+    train, unlabelled_sums,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -92,6 +95,44 @@ def test_prior_is_found():
     assert estimate_prior(good[:4000], np.concatenate([good[4000:7500], bad])) == pytest.approx(0.7, abs=0.06)
 
 
+def test_risk_over_all_rows(spark):
+    """Moments, tails, risk and gradient of a table against plain sums and finite differences, on both branches of the risk."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(0, 1, (700, len(FEATURES)))
+    table = spark.createDataFrame([(r.tolist(),) for r in rows], "features array<float>").repartition(5)
+    plain = np.array(rows, np.float32).astype(float)
+    n, mean, scale = feature_moments(table)
+    assert n == 700 and np.allclose(mean, plain.mean(0)) and np.allclose(scale, plain.std(0) + 1e-6)
+    shapes = [(len(FEATURES), HIDDEN), (HIDDEN,), (HIDDEN,), (1,)]
+    net = Network(mean, scale, [rng.normal(0, 0.5, s) for s in shapes])
+    at = np.quantile(net.margin(plain), [0.1, 0.5, 0.9])
+    assert tail_counts(table, net, at)[1].tolist() == [(net.margin(plain) >= t).sum() for t in at]
+    positive = net.standard(rng.normal(0.5, 1, (90, len(FEATURES))))
+
+    def parts(prior):
+        own, f = net.forward(positive)[1], net.margin(plain)
+        return prior * np.logaddexp(0, -own).mean(), np.logaddexp(0, f).mean() - prior * np.logaddexp(0, own).mean()
+
+    for prior, expect in ((0.3, lambda p, u: p + u), (30.0, lambda p, u: -u)):
+        risk, grads = risk_step(net, positive, n, *unlabelled_sums(table, net), prior)
+        assert (parts(prior)[1] >= 0) == (prior == 0.3) and risk == pytest.approx(parts(prior)[0] + max(0, parts(prior)[1]))
+        for w, g in zip(net.weights, grads):
+            place = tuple(0 for _ in w.shape)
+            values = []
+            for move in (1e-5, -2e-5):
+                w[place] += move
+                values.append(expect(*parts(prior)))
+            w[place] += 1e-5
+            assert g[place] == pytest.approx((values[0] - values[1]) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_fit_agrees_with_itself(spark, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    texts = docs.select("doc_id", "text")
+    one, two = train(texts, labels), train(texts.repartition(7), labels)
+    assert one.prior == two.prior and all(np.allclose(a, b, atol=1e-4) for a, b in zip(one.weights, two.weights))
+
+
 def test_quality_odd(spark, odd_docs, nulled_docs):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     assert [r.score for r in score_quality(nulled_docs, labels).collect()] == [0.5] * 12
