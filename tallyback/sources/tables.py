@@ -20,6 +20,7 @@ from tallyback.sources.schemas import (
 
 Tables = Mapping[str, DataFrame]
 CORRUPT = "_unreadable_line"
+BUCKETS = 1 << 16  # of digests, whose sums are compared before rows are
 
 
 def read_csv_table(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -43,6 +44,33 @@ def scan_csv_table(spark: SparkSession, name: str, path: str, columns: list[str]
     return good, read.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
 
 
+def unlike_rows(a: DataFrame, b: DataFrame) -> int:
+    """Rows that one table has more often than the other, both ways together; nulls are equal, columns go by position.
+
+    Rows are first told apart by sums of 128-bit digests per bucket of digests. Only rows of the buckets whose sums differ are compared themselves.
+    """
+    marks = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")) for c in a.columns]
+    low = F.lit(0xFFFFFFFF)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        digests = df.toDF(*a.columns).withColumns({"_h1": F.xxhash64(F.lit(1), *marks), "_h2": F.xxhash64(F.lit(2), *marks)})
+        return digests.withColumn("_bucket", F.pmod("_h1", F.lit(BUCKETS)))
+
+    def sums(df: DataFrame, sign: int) -> DataFrame:
+        halves = [half for h in ("_h1", "_h2") for half in (F.col(h).bitwiseAND(low), F.shiftrightunsigned(h, 32))]
+        return df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("s0"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(halves, 1)]).select(
+            "_bucket", *[(F.col(f"s{i}") * sign).alias(f"s{i}") for i in range(5)]
+        )
+
+    left, right = dealt(a), dealt(b)
+    total = sums(left, 1).union(sums(right, -1)).groupBy("_bucket").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)])
+    differ = cut_lineage(total.filter(" OR ".join(f"s{i} != 0" for i in range(5))).select("_bucket"))
+    if differ.isEmpty():
+        return 0
+    left, right = (df.join(differ, "_bucket", "left_semi").select(*a.columns) for df in (left, right))
+    return left.exceptAll(right).count() + right.exceptAll(left).count()
+
+
 def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
     return {name: read_csv_table(spark, name, path) for name, path in paths.items()}
 
