@@ -421,3 +421,63 @@ def test_products_against_chance(make):
     assert found["good"].binomial_p_value == pytest.approx(binomial_two_sided(2, 4, 0.25)) and not found["good"].unusual
     figures = {r.metric: r.value for r in R.product_binomial_summary(R.unusual_products(t)).collect()}
     assert (figures["Products tested"], figures["Unusual products"], figures["Unusual products above expectation"]) == (2, 1, 1)
+
+
+def test_unlike_rows(spark):
+    """Multisets compared by digests and then by rows: copies, nulls against empty text and swapped columns count."""
+    from tallyback.sources.tables import unlike_rows
+
+    kind = "a string, b string"
+    rows = [("x", "1"), ("x", "1"), (None, "2"), ("", "2"), ("3", None)]
+    left = spark.createDataFrame(rows, kind)
+    assert unlike_rows(left, spark.createDataFrame(rows[::-1], kind)) == 0
+    assert unlike_rows(left, spark.createDataFrame(rows[1:], kind)) == 1
+    assert unlike_rows(left, spark.createDataFrame([("x", "1"), ("x", "1"), ("", "2"), ("", "2"), (None, "3")], kind)) == 4
+    assert unlike_rows(left, spark.createDataFrame([], kind)) == 5
+
+
+def test_spread_rows(spark):
+    """A fit's rows are dealt out over all cores, whatever table they come from; a few rows stay as they lie."""
+    from pyspark.ml.functions import array_to_vector
+
+    from tallyback.plans import models as M
+
+    rows = spark.range(0, M.SPREAD_ROWS + 1, 1, 1).select("id", array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    dealt = M.spread(rows, "id")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt.count() == M.SPREAD_ROWS + 1
+    assert M.spread(rows.limit(10), "id").count() == 10
+
+
+def test_nearest_rows_reads_few_boxes():
+    """Boxes that can't hold a neighbour are left out, with the neighbours, ties and order of a full search."""
+    import numpy as np
+
+    from tallyback.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 60, (6000, 3)).astype(float)
+    queries = rng.integers(0, 60, (400, 3)).astype(float)
+    found = neighbours.boxes(points)
+    assert sorted(found.order) == list(range(len(points))) and len(found.borders) > 20
+    for query, (near, distances) in zip(queries, neighbours.nearest_rows(queries, points, 9, found)):
+        far = np.sqrt(((points - query) ** 2).sum(1))
+        order = np.lexsort((np.arange(len(points)), far))[:9]
+        assert (near == order).all() and (distances == far[order]).all()
+
+
+def test_items_move_once_to_their_orders(spark, folder):
+    """Items come with their owner laid out by order_id, so that a join with the orders does not move them again."""
+    from tallyback.sources.mapped import load_tables
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t = load_tables(spark, folder)
+        joined = t["order_items"].select("order_id", "user_id", "quantity").join(t["orders"].select("order_id", "order_date"), "order_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 3  # items, owners, orders
