@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from tallyback.llm.text import texts_of
 REMEMBERED_WORDS = 160_000
 # Bytes of words whose merges are replayed together; a bound on memory too.
 REPLAYED_BYTES = 1 << 18
+# Bytes of texts that are split into words at once, some ten times their size; a text longer than that is split alone.
+SPLIT_BYTES = 2 << 20
 # Longer words are encoded but not remembered.
 LONG_WORD = 256
 # Token numbers of a pair are packed into one integer; END stands behind every word.
@@ -188,6 +191,19 @@ def codec_for(name: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def parts_of_bytes(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts, its second column, hold ``limit`` bytes or are one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).tolist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes) or not sizes:
+        yield batch.slice(start)
+
+
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text by the rank file and decode the ids again.
 
@@ -202,12 +218,13 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     name = ranks_path.rsplit("/", 1)[-1]
 
     def step(batch: pa.RecordBatch):
-        texts = texts_of(batch.column(1)).to_pylist()
-        rows = list(codec_for(name, pattern).encode(texts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()),
-             pa.array([r[2] for r in rows], pa.binary())],
-            ["doc_id", "n_tokens", "ids_text", "decoded"],
-        )
+        for part in parts_of_bytes(batch, SPLIT_BYTES):
+            texts = texts_of(part.column(1)).to_pylist()
+            rows = list(codec_for(name, pattern).encode(texts))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()),
+                 pa.array([r[2] for r in rows], pa.binary())],
+                ["doc_id", "n_tokens", "ids_text", "decoded"],
+            )
 
     return arrow_map(document_texts(docs, id_col, text_col), step, "doc_id long, n_tokens long, ids_text string, decoded binary")
