@@ -12,7 +12,7 @@ component have are left out of the lists first, and so are sets with too few oth
 * Equal sets are one class throughout. First every set is joined with the most typical set of its nodes, which
   connects groups of near copies by stars instead of pairs; nodes whose sets are then all of one
   component are cut off, and pairs within a component are never formed.
-* A node of more than ``crowd`` sets is cut into chunks; pairs of chunks go to different tasks.
+* A node of more than ``crowd`` sets is cut into chunks; pairs of chunks go to different tasks, save those within its largest component.
 * A parity signature (an upper bound of the overlap) tells beforehand which sets of a node a set can match at all, and
   only then is the trie built and traversed. Candidates are checked on the whole texts.
 
@@ -326,12 +326,44 @@ def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
     return exploded.select(F.col("g.gram").alias("node"), "doc_id", "n", "weight")
 
 
+def _crossing_prefixes(ordered: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Nodes by what sets of different components can share (node, doc_id, n, comp).
+
+    An n-gram that only one component has counts as one that no other head has, so that a set of near copies whose other n-grams
+    can't reach the overlap is in no node, however many copies there are.
+    """
+    owned = ordered.join(comp, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "grams")
+    entries = owned.select("doc_id", "n", "comp", F.explode("grams").alias("g")).select("doc_id", "n", "comp", "g.heads", "g.gram")
+    owners = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("gram")
+    grams = F.sort_array(F.collect_list(F.struct("heads", "gram"))).alias("grams")
+    kept = entries.join(owners, "gram").groupBy("doc_id", "n", "comp").agg(grams)  # HEAD rows at most
+    room = F.greatest(F.size("grams") - _least_of_heads(F.col("n"), percent) + 1, F.lit(0)).cast("int")
+    exploded = kept.select("doc_id", "n", "comp", F.explode(F.slice("grams", F.lit(1), room)).alias("g"))
+    return exploded.select(F.col("g.gram").alias("node"), "doc_id", "n", "comp")
+
+
+def _dealt(level: DataFrame, crowd: int) -> DataFrame:
+    """Sets of the nodes (node, doc_id, n, comp) that hold two components, once for every chunk they meet (chunk, other).
+
+    The largest component of a crowded node is never paired with itself: its chunks go to the chunks of the others only.
+    """
+    owners = level.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("own"))
+    stats = owners.groupBy("node").agg(F.sum("own").alias("size"), F.max(F.struct("own", "comp")).alias("top")).filter("size > top.own")
+    mixed = level.join(stats, "node")
+    host = (F.col("size") > crowd) & (F.col("comp") == F.col("top.comp"))
+    guests = F.when(F.col("size") > crowd, F.ceil((F.col("size") - F.col("top.own")) / crowd)).otherwise(1).cast("int")
+    hosts = F.when(F.col("size") > crowd, F.ceil(F.col("top.own") / crowd)).otherwise(0).cast("int")
+    parted = mixed.select("node", "doc_id", "n", "comp", host.alias("host"), guests.alias("guests"), hosts.alias("hosts"))
+    at = lambda parts: F.pmod(F.xxhash64("doc_id"), F.greatest(parts, F.lit(1))).cast("int")
+    own = F.when(F.col("host"), F.col("guests") + at(F.col("hosts"))).otherwise(at(F.col("guests")))
+    chunked = parted.withColumn("chunk", own)
+    last = F.col("guests") + F.when(F.col("host"), 0).otherwise(F.col("hosts")) - 1
+    return chunked.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+
+
 def _tree_pairs(level: DataFrame, ordered: DataFrame, percent: int, crowd: int) -> DataFrame:
     """Candidate pairs of different components from the nodes (node, doc_id, n, comp)."""
-    stats = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = level.join(stats.filter("lo != hi").select("node", "size"), "node").withColumn("parts", F.ceil(F.col("size") / crowd).cast("int"))
-    chunked = mixed.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = _dealt(level, crowd)
     dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
     group = ["node", "c1", "c2"]
     dealt = dealt.withColumn("g", F.xxhash64(*group)).join(ordered.select("doc_id", "grams", "sig"), "doc_id")
@@ -371,9 +403,7 @@ def ngram_components(
     stars = cut_lineage(level.filter("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
     near = _links(stars, sets, texts, size, percent)
     comp = components(near).select(F.col("id").alias("doc_id"), "component")
-    start = cut_lineage(
-        level.join(comp, "doc_id", "left").select("node", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    )
+    start = cut_lineage(_crossing_prefixes(ordered, comp, percent))
     release(stars, level)
     far = _links(_tree_pairs(start, ordered, percent, crowd), sets, texts, size, percent)
     release(start, ordered)

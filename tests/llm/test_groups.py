@@ -215,3 +215,23 @@ def test_rows_of_one_vector_id(spark):
     rows = [(1, a, 0), (1, a, 0), (2, b, 0), (2, [0.0, 0.0, 0.0, 1.0], 3), (4, a, 0)]
     got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert sorted(tuple(r) for r in got) == [(1, 2, 1, True)] * 2 + [(2, 2, 1, False)] * 2 + [(4, 2, 1, False)]
+
+
+def test_crowded_node_grows_with_its_sets(spark):
+    """A node of many near copies and one other set deals each copy once, and near copies without common n-grams elsewhere are in no node."""
+    from tallyback.llm import ngram_join as J
+
+    grams = [(2, g) for g in range(60)]
+    head = "doc_id long, n long, grams array<struct<heads:long,gram:long>>, weight long, sig binary"
+    copies = [(i, 60, grams, 120, b"\0" * 8) for i in range(1, 401)]
+    other = [(1000, 60, grams[:50] + [(2, 900 + g) for g in range(10)], 120, b"\0" * 8)]
+    comp = spark.createDataFrame([(i, 1) for i in range(1, 401)], "doc_id long, component long")
+    level = J._crossing_prefixes(spark.createDataFrame(copies + other, head), comp, 80)
+    assert level.select("doc_id").distinct().count() == 401
+    nodes = level.groupBy("node").count().count()
+    assert J._dealt(level, 16).count() == level.filter("comp = 1").count() + level.filter("comp != 1").count() * (1 + 25)
+    assert nodes > 1
+    found = J._tree_pairs(level, spark.createDataFrame(copies + other, head), 80, 16)
+    assert {tuple(r) for r in found.collect()} <= {(i, 1000) for i in range(1, 401)}
+    few = [(1000, 60, grams[:10] + [(2, 900 + g) for g in range(50)], 120, b"\0" * 8)]
+    assert J._crossing_prefixes(spark.createDataFrame(copies + few, head), comp, 80).count() == 0
