@@ -481,3 +481,22 @@ def test_items_move_once_to_their_orders(spark, folder):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert plan.count("Exchange hashpartitioning") == 3  # items, owners, orders
+
+
+def test_candidates_are_fitted_side_by_side_and_once(spark, monkeypatch):
+    """All fits have begun before any ends, and the fitted ones are kept for scoring."""
+    import threading
+
+    begun, fits = threading.Barrier(3, timeout=60), []
+
+    def fit(train, candidate, key):
+        fits.append(candidate.name)
+        begun.wait()
+        return lambda asked: asked.select(key, "label", F.lit(0.5).alias("score"))
+
+    monkeypatch.setattr(M, "fitted_scorer", fit)
+    rows = spark.createDataFrame([(str(i), i % 2) for i in range(6)], "id string, label int")
+    metrics = M.evaluate(rows, rows, [M.Candidate(n, None) for n in "abc"], "id")
+    assert sorted(r.model for r in metrics.collect()) == ["a", "b", "c"] == sorted(fits)
+    assert metrics.fitted["a"](rows).count() == 6
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
