@@ -53,7 +53,7 @@ def basket_rules(labels: DataFrame, level: str, min_share: float = MIN_SHARE, mi
         .groupBy("labels")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    pairs = (
+    pairs = settle(
         distinct_baskets.select("labels", "weight", F.posexplode("labels").alias("place", "a"))
         .select("weight", "a", F.explode(F.slice("labels", F.col("place") + 2, F.size("labels"))).alias("b"))
         .groupBy("a", "b")

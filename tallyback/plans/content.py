@@ -212,6 +212,27 @@ def popular_products(purchases: DataFrame) -> DataFrame:
     return global_row_number(counts, [F.desc("buyers"), F.col("product_id")], "popularity_rank")
 
 
+def first_unbought(users: DataFrame, ranked: DataFrame, purchases: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` unbought products per user down to the user's ``reach``, by (similarity, product id).
+
+    Most users have them among the first 2 ``top`` ranks, so these are looked up first; the ranks down to the reach, as many as a
+    user has purchases, are joined only for the users that still lack some.
+    """
+    order = Window.partitionBy("user_id").orderBy(F.desc("similarity"), "product_id")
+
+    def found(asked: DataFrame, depth: Column) -> DataFrame:
+        candidates = asked.join(ranked, "seed").filter(F.col("rank") <= depth)
+        placed = unseen_candidates(candidates, purchases).withColumn("recommendation_rank", F.row_number().over(order))
+        return placed.filter(F.col("recommendation_rank") <= top).select(
+            "user_id", "segment", "seed_product_id", "product_id", "similarity", "recommendation_rank"
+        )
+
+    near = cut_lineage(found(users, F.least(F.col("reach"), F.lit(2 * top))))
+    full = near.filter(F.col("recommendation_rank") == top).select("user_id")
+    rest = found(cut_lineage(users.join(full, "user_id", "left_anti")), F.col("reach"))
+    return cut_lineage(near.join(full, "user_id", "left_semi").unionByName(rest))
+
+
 def content_recommendations(t: Tables, current: DataFrame, calendar: SnapshotCalendar | None = None, top: int = TOP) -> DataFrame:
     """``top`` unbought products per current customer, most similar to the last purchase first.
 
@@ -234,17 +255,10 @@ def content_recommendations(t: Tables, current: DataFrame, calendar: SnapshotCal
         .select("user_id", "segment", "seed_product_id", F.col("content").alias("seed"), (F.col("bought") + top).alias("reach"))
     )
     seeds = cut_lineage(users.groupBy("seed").agg(F.max("reach").alias("depth")))
-    ranked = ranked_products(similar_contents(vectors, seeds, sizes), seeds, products)
-    candidates = users.join(ranked, "seed").filter(F.col("rank") <= F.col("reach"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("similarity"), "product_id")
-    similar = cut_lineage(
-        unseen_candidates(candidates, purchases)
-        .withColumn("recommendation_rank", F.row_number().over(order))
-        .filter(F.col("recommendation_rank") <= top)
-        .select("user_id", "segment", "seed_product_id", "product_id", "similarity", "recommendation_rank")
-    )
+    ranked = cut_lineage(ranked_products(similar_contents(vectors, seeds, sizes), seeds, products))
+    similar = first_unbought(users, ranked, purchases, top)
     have = similar.groupBy("user_id").agg(F.count(F.lit(1)).alias("have"))
-    short = users.join(have, "user_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter(F.col("have") < top)
+    short = cut_lineage(users.join(have, "user_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter(F.col("have") < top))
     wanted = short.withColumn("popularity_rank", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("reach") + top)))
     fill = (
         unseen_candidates(unseen_candidates(wanted.join(popular_products(purchases), "popularity_rank"), purchases), similar)

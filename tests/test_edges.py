@@ -500,3 +500,53 @@ def test_candidates_are_fitted_side_by_side_and_once(spark, monkeypatch):
     assert sorted(r.model for r in metrics.collect()) == ["a", "b", "c"] == sorted(fits)
     assert metrics.fitted["a"](rows).count() == 6
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_shuffles_get_partitions_by_the_rows_of_the_tables(spark, folder, monkeypatch):
+    from tallyback import catalog_base, session
+
+    monkeypatch.setattr(session, "ROWS_PER_PART", 100)
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen = [spark.conf.get(k) for k in keys], []
+
+    def build(t):
+        seen.append((int(spark.conf.get(keys[0])), t["order_items"].count()))
+        return t["products"]
+
+    catalog_base.on_tables(build)(spark, folder)
+    ((parts, rows),) = seen
+    assert parts == math.ceil(rows / 100) > int(before[0])
+    with pytest.raises(ZeroDivisionError), session.shuffles_for(spark.range(10_000)):
+        1 / 0  # noqa: B018
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_recommendations_read_deep_lists_only_for_users_who_bought_the_first(spark, monkeypatch):
+    """Buyers of the first 2 top products go down to their reach, others don't; results are those of the whole lists."""
+    ranked = spark.createDataFrame([(1, f"p{i:02d}", 1.0 - i / 100, i + 1) for i in range(30)], "seed long, product_id string, similarity double, rank int")
+    users = spark.createDataFrame([("deep", "Core", "p00", 1, 23), ("near", "Core", "p00", 1, 4), ("few", "Core", "p00", 1, 2)],
+                                  "user_id string, segment string, seed_product_id string, seed long, reach long")
+    bought = spark.createDataFrame([("deep", f"p{i:02d}") for i in range(20) if i != 4] + [("near", "p00")], "user_id string, product_id string")
+    asked, unseen = [], T.unseen_candidates
+
+    def watched(candidates, purchases):
+        asked.append(candidates.count())
+        return unseen(candidates, purchases)
+
+    monkeypatch.setattr(T, "unseen_candidates", watched)
+    found = T.first_unbought(users, ranked, bought, 3).collect()
+    got = {u: [r.product_id for r in sorted(found, key=lambda r: r.recommendation_rank) if r.user_id == u] for u in ("deep", "near", "few")}
+    assert got == {"deep": ["p04", "p20", "p21"], "near": ["p01", "p02", "p03"], "few": ["p00", "p01"]}
+    assert asked == [6 + 4 + 2, 23 + 2]
+
+
+def test_forest_in_level_order_scores_like_its_nodes():
+    import numpy as np
+    from tallyback.operators import forest
+
+    tree = [np.array(x) for x in ([1, -1, 0, -1, -1], [0.5, 0.0, 2.0, 0.0, 0.0], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0.0, 1.25, 0.0, 2.5, 3.5])]
+    leaf = [np.array(x) for x in ([-1], [0.0], [-1], [-1], [4.0])]
+    data = np.array([[9.0, 0.5], [2.0, 0.6], [2.1, 0.6], [-np.inf, np.inf], [np.inf, -np.inf], [np.nan, np.nan]])
+    levels = forest.level_order(*tree)
+    assert levels[0] == 2 and len(levels[1]) == 3
+    assert forest.total_depth([levels, forest.level_order(*leaf)], data).tolist() == [5.25, 6.5, 7.5, 6.5, 5.25, 7.5]
