@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
 A Python worker gathers the distinct pre-tokens ("words") that none of its tasks has met lately and encodes them
-together: an inverted index leads from the rank of a token pair to the places where
-the pair stands, and the merges are replayed over all words in rank order, each one touching
-only its own places and their neighbours. Documents are then put together from encoded words.
+together. Short words are replayed side by side, one merge of each a round, over arrays of all their tokens. For longer ones an
+inverted index leads from the rank of a token pair to the places where the pair stands, and the merges are replayed over all words in
+rank order, each one touching only its own places and their neighbours. Documents are then put together from encoded words.
 There is no shuffle: the work is one pass over the texts, and a lost task is simply repeated.
 """
 
@@ -24,7 +24,7 @@ from tallyback.llm.common import arrow_map, document_texts
 from tallyback.llm.text import texts_of
 
 # Words a worker remembers, the rarer half of which it then drops; a bound on memory, not on what is encoded.
-REMEMBERED_WORDS = 160_000
+REMEMBERED_WORDS = 320_000
 # Bytes of words whose merges are replayed together; a bound on memory too.
 REPLAYED_BYTES = 1 << 18
 # Bytes of texts that are split into words at once, some ten times their size; a text longer than that is split alone.
@@ -34,6 +34,9 @@ LONG_WORD = 256
 # Token numbers of a pair are packed into one integer; END stands behind every word.
 SHIFT = 24
 END = (1 << SHIFT) - 1
+# Words of up to so many bytes are replayed side by side; longer ones would take too many rounds.
+SHORT_BYTES = 48
+NONE = 1 << 62
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -41,15 +44,88 @@ def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
+class MergeTable(dict):
+    """Rank of the merged token by pair, also for whole arrays of pairs: open addressing, so that a lookup is a few gathers."""
+
+    def lay(self) -> MergeTable:
+        keys, ranks = np.fromiter(self.keys(), np.int64, len(self)), np.fromiter(self.values(), np.int64, len(self))
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.at = np.full(1 << self.bits, -1)
+        self.rank = np.full(1 << self.bits, NONE)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = keys[free]
+            placed = self.at[slot] == keys
+            self.rank[slot[placed]] = ranks[placed]
+            keys, ranks, slot = keys[~placed], ranks[~placed], slot[~placed] + 1 & (1 << self.bits) - 1
+        return self
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs, NONE where two tokens don't merge."""
+        pairs = left << SHIFT | right
+        slot = self._slots(pairs)
+        held = self.at[slot]
+        out = np.where(held == pairs, self.rank[slot], NONE)
+        going = np.flatnonzero((held != pairs) & (held >= 0))
+        while len(going):
+            slot[going] = slot[going] + 1 & (1 << self.bits) - 1
+            held, wanted = self.at[slot[going]], pairs[going]
+            out[going[held == wanted]] = self.rank[slot[going[held == wanted]]]
+            going = going[(held != wanted) & (held >= 0)]
+        return out
+
+
+def merge_table(ranks: dict[bytes, int]) -> MergeTable:
     """Rank of the merged token for every two tokens that merge, keyed by ``left << SHIFT | right``."""
-    table = {}
+    table = MergeTable()
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
                 table[left << SHIFT | right] = rank
-    return table
+    return table.lay()
+
+
+def replay_side_by_side(words: list[bytes], letters: list[int], table: MergeTable) -> list[list[int]]:
+    """``replay_merges`` for short words: each round does one merge in every word that has one left, of lowest rank and then leftmost."""
+    if not words:
+        return []
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), sizes + 1)
+    tokens = np.full(len(word), END, np.int64)
+    inside = np.ones(len(word), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    tokens[inside] = np.array(letters, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+    rank = np.append(table.find(tokens[:-1], tokens[1:]), NONE)
+    done_words, done_tokens = [], []
+    while len(word):
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        lengths = np.diff(np.append(starts, len(word)))
+        least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
+        left = least < NONE
+        if not left.all():
+            done_words.append(word[~left])
+            done_tokens.append(tokens[~left])
+            word, tokens, rank, least = word[left], tokens[left], rank[left], least[left]
+        at = np.flatnonzero(rank == least)
+        at = at[np.diff(word[at], prepend=-1) != 0]
+        tokens[at] = rank[at]
+        kept = np.ones(len(word), bool)
+        kept[at + 1] = False
+        word, tokens, rank = word[kept], tokens[kept], rank[kept]
+        at -= np.arange(len(at))
+        rank[at] = table.find(tokens[at], tokens[at + 1])  # END follows at the latest
+        at = at[(at > 0) & (word[at - 1] == word[at])]
+        rank[at - 1] = table.find(tokens[at - 1], tokens[at])
+    word, tokens = np.concatenate(done_words), np.concatenate(done_tokens)
+    word, tokens = word[tokens != END], tokens[tokens != END]
+    ids = tokens[np.argsort(word, kind="stable")].tolist()
+    borders = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+    return [ids[start:end] for start, end in zip([0, *borders], borders)]
 
 
 def replay_merges(words: list[bytes], letters: list[int], table: dict[int, int]) -> list[list[int]]:
@@ -147,10 +223,16 @@ class Codec:
             group.append(word.encode())
             held += len(group[-1])
             if held >= REPLAYED_BYTES or i == len(words):
-                for ids in replay_merges(group, self._letters, self._table):
+                for ids in self.replay(group):
                     yield " ".join([digits[i] for i in ids]), len(ids), self.decode(ids)
                 group, held = [], 0
 
+    def replay(self, group: list[bytes]) -> list[list[int]]:
+        """Token ids of every word, short words side by side and longer ones by the inverted index."""
+        short = iter(replay_side_by_side([w for w in group if len(w) <= SHORT_BYTES], self._letters, self._table))
+        long = iter(replay_merges([w for w in group if len(w) > SHORT_BYTES], self._letters, self._table))
+        return [next(short if len(w) <= SHORT_BYTES else long) for w in group]
+
     def encode(self, texts: list[str]) -> Iterable[tuple[str, int, bytes]]:
         """Per text: ids as decimal text joined by one space, their number, and the bytes the ids stand for."""
         if len(self._known) > REMEMBERED_WORDS // 2:

@@ -39,7 +39,7 @@ from tallyback.llm.text import (
 
 HEAD = 64
 SHARED = 17  # n-grams that the heads of a pair of longer sets have in common
-CROWD = 256  # sets of a node that one task traverses
+CROWD = 2048  # sets of a chunk; a task traverses two chunks, a few MB, and a set of a node of n is dealt n / CROWD times
 
 
 def ngram_sets(texts: pa.Array, size: int):

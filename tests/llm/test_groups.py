@@ -235,3 +235,15 @@ def test_crowded_node_grows_with_its_sets(spark):
     assert {tuple(r) for r in found.collect()} <= {(i, 1000) for i in range(1, 401)}
     few = [(1000, 60, grams[:10] + [(2, 900 + g) for g in range(50)], 120, b"\0" * 8)]
     assert J._crossing_prefixes(spark.createDataFrame(copies + few, head), comp, 80).count() == 0
+
+
+def test_node_of_thousands_of_sets_deals_each_about_twice(spark):
+    """At the library's chunk size a node of 2,200 sets, 985 of them components of their own, deals no set more than three times."""
+    from tallyback.llm import ngram_join as J
+
+    rows = [(7, i, 60, 1 if i <= 1216 else i) for i in range(1, 2201)]
+    level = spark.createDataFrame(rows, "node long, doc_id long, n long, comp long")
+    dealt = J._dealt(level, J.CROWD)
+    assert dealt.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 2
+    met = dealt.selectExpr("doc_id", "least(chunk, other) AS c1", "greatest(chunk, other) AS c2").groupBy("c1", "c2")
+    assert met.count().agg({"count": "max"}).first()[0] <= 2 * J.CROWD

@@ -243,6 +243,21 @@ def test_lower_ranks_that_a_merge_opens_go_first():
     assert replay_merges(words, letters, merge_table(ranks)) == [encoding.encode_ordinary(w.decode()) for w in words]
 
 
+def test_short_words_side_by_side_as_one_by_one(plain):
+    """Whole arrays of short words give the ids of the inverted index, and long words never take that many rounds."""
+    from tallyback.llm import bpe
+
+    ranks, encoding = plain
+    rng = random.Random(9)
+    words = ["".join(rng.choices(["a", "b", "th", "ing", " ", "é", "1", "=", "中"], k=rng.randint(0, 14))).encode() for _ in range(3000)]
+    words += [b"a" * n for n in range(60)]
+    table, letters = merge_table(ranks), [ranks[bytes([b])] for b in range(256)]
+    assert bpe.replay_side_by_side(words, letters, table) == replay_merges(words, letters, table)
+    assert bpe.replay_side_by_side([], letters, table) == [] and bpe.replay_side_by_side([b""], letters, table) == [[]]
+    codec = Codec(ranks, public_tokenizers.PATTERN)
+    assert codec.replay(words) == replay_merges(words, letters, table)
+
+
 def test_codec_forgets_the_rarer_half(monkeypatch, plain):
     monkeypatch.setattr("tallyback.llm.bpe.REMEMBERED_WORDS", 40)
     codec = Codec(plain[0], public_tokenizers.PATTERN)
