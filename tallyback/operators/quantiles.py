@@ -1,4 +1,4 @@
-"""Exact quantiles by radix selection: counts per bucket of the values' bits, never a sorted group."""
+"""Exact quantiles: a sketch finds the neighbourhood, counts inside it the value; never a sorted group."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from tallyback.session import release
 
 DIGIT = 16  # bits decided by one pass
 FEW = 1 << DIGIT  # rows that one last pass may order by their whole value
+ACCURACY = 10_000  # of the sketch: its ranks are off by a ten-thousandth of the rows at most
 _LOW_BITS = (1 << 63) - 1
 
 
@@ -41,15 +42,58 @@ def _narrow(counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def exact_quantile(df: DataFrame, value: Column, q: float, by: list[str], out: str) -> DataFrame:
+def exact_quantile(df: DataFrame, value: Column, q: float, by: list[str], out: str, written: bool = False) -> DataFrame:
     """Exact quantile per group with linear interpolation, nulls and NaN left out.
 
+    A sketch per group gives two values with the wanted ranks between them; one more pass counts the values below and
+    those between by value, which are some hundred-thousandths of the rows and their ties. Where a rank is not between them, or
+    a group is so large that many values may be, the search goes by the values' bits. Groups with a null key are left out.
+    ``written`` says that ``df`` is cheap to read twice; else its values are written first.
+    """
+    data = df.select(*by, (value.cast("double") + F.lit(0.0)).alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)").dropna(subset=by)
+    if not written:
+        data = settle(data)
+    found = _between_marks(data, q, by)
+    if found is None:
+        found = _by_bits(data, q, by)
+    if not written:
+        release(data)
+    return found.select(*by, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_share")).alias(out))
+
+
+def _between_marks(data: DataFrame, q: float, by: list[str]) -> DataFrame | None:
+    """Per group the two values around the quantile and the share between them, or nothing if a sketch does not settle it."""
+    marks = F.percentile_approx("_v", [max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)], ACCURACY)
+    bounds = settle(data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), marks.alias("_marks")))
+    if (bounds.agg(F.max("_n")).first()[0] or 0) * 6 > FEW * ACCURACY:
+        release(bounds)
+        return None
+    low, high = F.col("_marks")[0], F.col("_marks")[1]
+    near = data.join(bounds, by).filter(F.col("_v") <= high).select(*by, "_n", F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
+    counts = near.groupBy(*by, "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    position = F.lit(q) * (F.col("_n") - 1)
+    placed = counts.withColumns({"_end": F.sum("_c").over(upto), "_position": position}).withColumn("_start", F.col("_end") - F.col("_c"))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
+
+    share = F.first(F.col("_position") - F.floor("_position"))
+    found = settle(placed.groupBy(*by).agg(value_at(F.floor("_position")).alias("_v0"), value_at(F.ceil("_position")).alias("_v1"), share.alias("_share")))
+    settled = found.agg(F.count_if(F.col("_v0").isNotNull() & F.col("_v1").isNotNull())).first()[0] == bounds.count()
+    release(bounds)
+    return found if settled else None
+
+
+def _by_bits(values: DataFrame, q: float, by: list[str]) -> DataFrame:
+    """The same by radix selection.
+
     Every pass counts the values by the next 16 bits of their ordered image, inside the buckets that hold a wanted rank, with
     map-side partial counts; what is left after a pass is one bucket per group and rank. As soon as all these buckets
     are small, one pass over their whole values ends the search: two passes on most tables, four on any. No task
-    sees more than ``FEW`` buckets of a group. Groups with a null key are left out.
+    sees more than ``FEW`` buckets of a group.
     """
-    data = settle(with_ordered_bits(df.select(*by, value.cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)"), "_v", "_image"))
+    data = settle(with_ordered_bits(values, "_v", "_image"))
     shift = 64 - DIGIT
     first = data.groupBy(*by, F.shiftright("_image", shift).alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(*by)
@@ -77,7 +121,7 @@ def exact_quantile(df: DataFrame, value: Column, q: float, by: list[str], out: s
     release(data)
     images = [F.max(F.when(F.col("_which") == i, F.col("_prefix"))).alias(f"_image{i}") for i in (0, 1)]
     ends = state.groupBy(*by).agg(*images, F.first("_share").alias("_share")).withColumns({f"_v{i}": from_ordered_bits(F.col(f"_image{i}")) for i in (0, 1)})
-    return ends.select(*by, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_share")).alias(out))
+    return ends.select(*by, "_v0", "_v1", "_share")
 
 
 def exact_quantile_of_table(df: DataFrame, value: Column, q: float, out: str) -> DataFrame:

@@ -30,9 +30,9 @@ def category_price_stats(items: DataFrame) -> DataFrame:
     The two columns are written once, since four passes read them.
     """
     known = cut_lineage(items.filter("category IS NOT NULL").select("category", "item_price"))
-    medians = settle(exact_quantile(known, F.col("item_price"), 0.5, ["category"], "price_median"))
+    medians = settle(exact_quantile(known, F.col("item_price"), 0.5, ["category"], "price_median", written=True))
     spread = F.abs(F.col("item_price") - F.col("price_median"))
-    mads = exact_quantile(known.join(medians, "category"), spread, 0.5, ["category"], "price_mad")
+    mads = exact_quantile(known.join(medians, "category"), spread, 0.5, ["category"], "price_mad", written=True)
     return settle(medians.join(mads, "category"))
 
 
@@ -48,7 +48,8 @@ def items_with_price_z(t: Tables) -> DataFrame:
 def anomaly_rollup(t: Tables) -> DataFrame:
     """Per order: sums, distinct lines, highest price, highest and mean absolute price z."""
     size = F.abs("price_robust_z")
-    return items_with_price_z(t).groupBy("order_id").agg(
+    # Laid out by order first: distinct lines are counted where the order's lines lie, instead of moving every line with its sums.
+    return items_with_price_z(t).repartition("order_id").groupBy("order_id").agg(
         F.coalesce(F.sum("item_total"), F.lit(0.0)).alias("item_total_sum"),
         F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("total_quantity"),
         F.count_distinct("order_item_id").cast("double").alias("item_line_count"),
@@ -65,9 +66,9 @@ def order_features(t: Tables) -> DataFrame:
 
 
 def column_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]:
-    """Exact median of several columns in one job; one number per column reaches the driver."""
+    """Exact median of several columns of a written table in one search; one number per column reaches the driver."""
     entries = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in columns.items()])
-    found = exact_quantile(df.select(F.inline(entries)), F.col("value"), 0.5, ["name"], "median").collect()
+    found = exact_quantile(df.select(F.inline(entries)), F.col("value"), 0.5, ["name"], "median", written=True).collect()
     return {row["name"]: row["median"] for row in found}
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tallyback.operators import bagged_trees, density, forest, kmeans, moments, neighbours
+from tallyback.operators import bagged_trees, density, forest, kmeans, moments, neighbours, quantiles
 from tallyback.operators.quantiles import exact_quantile, exact_quantile_of_table
 from tallyback.operators.ranks import first_row_per_key, global_row_number, percent_ranks, row_number_by_day, total_before
 from tallyback.plans import models
@@ -71,6 +71,25 @@ def test_quantiles_of_odd_doubles(spark, few, monkeypatch):
     assert exact_quantile_of_table(df.limit(0), F.col("v"), 0.5, "x").first().x is None
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 20, 1])
+def test_quantiles_by_sketch_and_by_bits_agree(spark, rng, accuracy, monkeypatch):
+    """A sketch settles the value exactly or not at all, and then the bits do."""
+    monkeypatch.setattr("tallyback.operators.quantiles.ACCURACY", accuracy)
+    values = {"wide": rng.normal(size=30_000), "ties": rng.integers(0, 3, 20_000).astype(float), "one": np.array([-0.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [(None, 1.0)], "g string, _v double").repartition(5).persist()
+    known = df.filter("g IS NOT NULL")
+    for q in (0.0, 0.3, 0.5, 1.0):
+        bits = {r.g: (r._v0, r._v1) for r in quantiles._by_bits(known, q, ["g"]).collect()}
+        marks = quantiles._between_marks(known, q, ["g"])
+        assert marks is not None or accuracy == 1
+        assert marks is None or {r.g: (r._v0, r._v1) for r in marks.collect()} == bits
+        got = {r.g: r.x for r in exact_quantile(df, F.col("_v"), q, ["g"], "x", written=True).collect()}
+        assert set(got) == set(values)
+        for g, vs in values.items():
+            assert got[g] == pytest.approx(np.quantile(vs, q), abs=1e-12)
+    df.unpersist()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 8, 12])
 def test_quintiles_of_small_sizes(spark, n):
     amounts = [float(i // 2) for i in range(n)]
