@@ -287,21 +287,68 @@ _OUTCOME = ["future_order_count", "future_spend"]
 _MEASURES = _RUNNING + _OUTCOME
 
 
+HOT_ORDERS = 250_000  # a user with more orders than this is dealt to several tasks
+HOT_PARTS = 64
+
+
 def _deltas(facts: DataFrame, **measures: Column) -> DataFrame:
-    """Bring one fact table to the common shape (user, snapshot number, measures, last order)."""
+    """One fact table summed per (user, snapshot number), in the common shape (user, snapshot number, measures, last order).
+
+    It is summed with its own measures only: rows of all measures would be moved once per fact where users are many.
+    """
+    own = facts.filter("user_id IS NOT NULL AND snapshot_no IS NOT NULL").groupBy("user_id", "snapshot_no")
+    last = measures.pop("last_order_date", None)
+    sums = [F.sum(value.cast("double")).alias(m) for m, value in measures.items()]
+    return _in_shape(own.agg(*sums, *([] if last is None else [F.max(last).alias("last_order_date")])))
+
+
+def _in_shape(part: DataFrame) -> DataFrame:
+    last = F.col("last_order_date") if "last_order_date" in part.columns else F.lit(None).cast("timestamp_ntz").alias("last_order_date")
     zero = F.lit(0.0)
-    last = measures.pop("last_order_date", F.lit(None).cast("timestamp_ntz"))
-    return facts.filter("user_id IS NOT NULL AND snapshot_no IS NOT NULL").select(
-        "user_id", "snapshot_no", *[measures.get(m, zero).cast("double").alias(m) for m in _MEASURES], last.alias("last_order_date")
-    )
+    return part.select("user_id", "snapshot_no", *[(F.col(m).cast("double") if m in part.columns else zero).alias(m) for m in _MEASURES], last)
+
+
+def _hot_users(orders: DataFrame) -> list[str]:
+    """Users with so many orders that one task can't hold their facts; there is one per ``HOT_ORDERS`` orders at most."""
+    found = orders.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"))
+    return [r.user_id for r in found.filter(F.col("orders") > HOT_ORDERS).select("user_id").collect()]
+
+
+def _first_met(facts: DataFrame, met: list[Column], spread_by: str, hot: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per (user, kind, label): the first snapshot and the sums; ``met`` are structs of kind and label, null labels are left out.
+
+    A user's facts are brought together once and all kinds are told apart there. Those of hot users are spread by another
+    column and merged in a second step.
+    """
+    facts = facts.filter("user_id IS NOT NULL AND snapshot_no IS NOT NULL")
+    keys = ["user_id", "kind", "label"]
+    values = {"snapshot_no": F.min, **dict.fromkeys(sums, F.sum)}
+
+    def merged(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[how(c).alias(c) for c, how in values.items()])
+
+    def told_apart(rows: DataFrame, *more: str) -> DataFrame:
+        added = [value.cast("double").alias(m) for m, value in sums.items()]
+        return rows.select("user_id", *more, "snapshot_no", *added, F.inline(F.array(*met))).filter("label IS NOT NULL")
+
+    if not hot:
+        return merged(told_apart(facts.repartition("user_id")), *keys)
+    part = F.when(F.col("user_id").isin(hot), F.pmod(F.xxhash64(spread_by), F.lit(HOT_PARTS))).otherwise(F.lit(0))
+    dealt = facts.withColumn("_part", part).repartition("user_id", "_part")
+    return merged(merged(told_apart(dealt, "_part"), *keys, "_part"), *keys)
+
+
+def _kind(name: str, label: Column) -> Column:
+    return F.struct(F.lit(name).alias("kind"), label.cast("string").alias("label"))
 
 
 def snapshot_deltas(t: Tables, calendar: SnapshotCalendar) -> DataFrame:
     """What each user added before each snapshot, summed per (user, snapshot number).
 
     Every fact is read once and lands in exactly one snapshot, the first after
-    it. Distinct products, categories and brands become additive by counting
-    only the first time a user meets each of them.
+    it. Distinct products, categories, brands and reviews become additive by
+    counting only the first time a user meets each of them. Plain sums go by
+    kind ``at``, whose label is the snapshot itself.
     """
     one = F.lit(1.0)
     orders = t["orders"].withColumn("snapshot_no", calendar.index_of_next(F.col("order_date")))
@@ -310,41 +357,45 @@ def snapshot_deltas(t: Tables, calendar: SnapshotCalendar) -> DataFrame:
     outcome = t["orders"].withColumn("snapshot_no", F.explode(calendar.indexes_before(F.col("order_date"))))
     outcome_part = _deltas(outcome, future_order_count=one, future_spend=F.col("total_amount"))
 
+    def is_kind(name: str) -> Column:
+        return F.col("kind") == name
+
+    def at(measure: str) -> Column:
+        return F.sum(F.when(is_kind("at"), F.col(measure)))
+
+    hot = _hot_users(t["orders"])
+    by_snapshot = _kind("at", F.col("snapshot_no"))
     dims = product_dimension(t).select("product_id", "category", "brand")
     numbered = orders.filter("snapshot_no IS NOT NULL").select("order_id", "snapshot_no")
     items = t["order_items"].select("order_id", "user_id", "product_id", "quantity").join(numbered, "order_id")
-    # Quantities of an order merge before they are moved; a product fixes its labels, so these are met first with the first product that has them.
-    quantity_part = _deltas(items, total_quantity=F.col("quantity"))
-    products = items.groupBy("product_id", "user_id").agg(F.min("snapshot_no").alias("snapshot_no"))
-    labelled = products.join(dims, "product_id", "left")
-    product_part = _deltas(labelled, unique_products=F.col("product_id").isNotNull().cast("int"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("label")) for k in ("category", "brand")])
-    firsts = (
-        labelled.select("user_id", "snapshot_no", F.inline(kinds))
-        .filter("label IS NOT NULL")
-        .groupBy("user_id", "kind", "label")
-        .agg(F.min("snapshot_no").alias("snapshot_no"))
+    labelled = items.drop("order_id").join(dims, "product_id", "left")
+    kinds = [by_snapshot, _kind("product", F.col("product_id")), _kind("category", F.col("category")), _kind("brand", F.col("brand"))]
+    bought = _first_met(labelled, kinds, "product_id", hot, {"quantity": F.col("quantity")})
+    item_part = _in_shape(
+        bought.groupBy("user_id", "snapshot_no").agg(
+            at("quantity").alias("total_quantity"),
+            F.count_if(is_kind("product")).alias("unique_products"),
+            F.count_if(is_kind("category")).alias("category_breadth"),
+            F.count_if(is_kind("brand")).alias("brand_breadth"),
+        )
     )
 
-    def is_kind(kind: str) -> Column:
-        return (F.col("kind") == kind).cast("int")
-
-    label_part = _deltas(firsts, category_breadth=is_kind("category"), brand_breadth=is_kind("brand"))
-
     events = engagement_events(t).withColumn("snapshot_no", calendar.index_of_next(F.col("event_timestamp")))
     event_part = _deltas(events, **{f"{k}_count": (F.col("event_type") == k).cast("int") for k in ENGAGEMENT_TYPES})
 
     reviews = t["reviews"].withColumn("snapshot_no", calendar.index_of_next(F.col("review_date")))
-    rating_part = _deltas(
-        reviews, rating_sum=F.col("rating"), rating_rows=one, negative_reviews=(F.col("rating") <= 2).cast("int")
+    reviews = reviews.select("user_id", "review_id", "rating", "snapshot_no")
+    rated = {"rating_sum": F.col("rating"), "rating_rows": one, "negative_reviews": (F.col("rating") <= 2).cast("int")}
+    written = _first_met(reviews, [by_snapshot, _kind("review", F.col("review_id"))], "review_id", hot, rated)
+    review_part = _in_shape(
+        written.groupBy("user_id", "snapshot_no").agg(*[at(m).alias(m) for m in rated], F.count_if(is_kind("review")).alias("review_count"))
     )
-    first_reviews = reviews.groupBy("user_id", "review_id").agg(F.min("snapshot_no").alias("snapshot_no"))
-    review_part = _deltas(first_reviews.filter("review_id IS NOT NULL"), review_count=one)
 
     merged = order_part
-    for part in (outcome_part, quantity_part, product_part, label_part, event_part, rating_part, review_part):
+    for part in (outcome_part, item_part, event_part, review_part):
         merged = merged.unionByName(part)
-    return merged.groupBy("user_id", "snapshot_no").agg(
+    # Dealt by user, so that sums along a user's snapshots don't move the rows again.
+    return merged.repartition("user_id").groupBy("user_id", "snapshot_no").agg(
         *[F.sum(m).alias(m) for m in _MEASURES], F.max("last_order_date").alias("last_order_date")
     )
 

@@ -295,6 +295,45 @@ def test_panel_matches_brute_force(make):
     assert all(direct[k] == v[1] for k, v in want.items())
 
 
+def odd_facts(make):
+    """Few users, one of them with most orders; null keys, labels, ratings and ids; products and reviews that are met again later."""
+    orders = [(f"o{i}", None if i % 17 == 0 else f"u{0 if i % 3 else i % 4}", datetime(2024, 1 + (i * 5) % 12, 1 + i % 28), "x", None if i % 11 == 0 else float(i)) for i in range(60)]
+    products = [(None if i == 5 else f"p{i}", "n", None if i == 3 else f"c{i % 3}", f"b{i % 4}", 1.0, 1.0) for i in range(8)]
+    items = [(f"i{i}", f"o{i % 61}", None if i % 13 == 0 else f"p{i % 9}", None if i % 19 == 0 else orders[i % 60][1], None if i % 7 == 0 else 1.0 + i % 3, 1.0, 1.0) for i in range(200)]
+    users = [(f"u{i}", "", "", "", "", datetime(2023, 1 + i, 1)) for i in range(4)]
+    events = [(f"e{i}", f"u{i % 5}", None, ["view", "cart", "other"][i % 3], datetime(2024, 1 + i % 12, 3)) for i in range(40)]
+    reviews = [(None if i % 9 == 0 else f"r{i % 21}", "o1", "p1", f"u{i % 4}", None if i % 8 == 0 else float(1 + i % 5), "t", datetime(2024, 1 + (i * 5) % 12, 9)) for i in range(60)]
+    return make(orders=orders, order_items=items, products=products, users=users, events=events, reviews=reviews)
+
+
+def test_panel_deals_hot_users_out(make, monkeypatch):
+    t = odd_facts(make)
+    whole = sorted(map(str, N.customer_snapshot_panel(t).collect()))
+    monkeypatch.setattr(N, "HOT_ORDERS", 10)
+    assert N._hot_users(t["orders"]) == ["u0"]
+    assert sorted(map(str, N.customer_snapshot_panel(t).collect())) == whole
+
+
+def test_panel_facts_meet_once_per_user(spark, folder):
+    """Lines and reviews are moved to their user once; neither labels nor sums nor the running sums move them again."""
+    from tallyback.sources.mapped import load_tables
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t = load_tables(spark, folder)
+        plan = N.customer_snapshot_panel(t, N.snapshot_calendar(t["orders"]))._jdf.queryExecution().executedPlan().toString()
+        rollup = A.anomaly_rollup(t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not [m for m in moves if "label" in m or "review_id#" in m.split("hashpartitioning(")[1].split(")")[0]]
+    assert sum("lineitem.parquet" in line for line in plan.splitlines()) == 2  # once for the items, once for the reviews
+    assert "hashpartitioning(order_id" in rollup and not [x for x in rollup.splitlines() if "Exchange" in x and "order_item_id#" in x.split("ENSURE")[0]]
+
+
 def test_short_history_has_one_snapshot(make):
     t = make(orders=[("a", "u", at("2024-01-01"), "x", 1.0), ("b", "u", at("2024-04-20"), "x", 1.0)])
     assert N.snapshot_calendar(t["orders"]).dates == [at("2024-01-21")]
