@@ -343,3 +343,23 @@ def test_network_stops_early_and_keeps_its_best(spark, rng, monkeypatch):
     assert 2 < len(rounds) < 40 and set(rounds) == {10}
     right = fitted.transform(df).filter("prediction = label").count()
     assert right > 540
+
+
+@pytest.mark.parametrize("rows,piece", [(940, 100), (940, 5), (30, 100)])
+def test_neighbour_vote_in_pieces_is_the_vote_of_all_rows(spark, rng, monkeypatch, rows, piece):
+    """More labelled rows than travel whole all vote: scores, ties and rows are those of one matrix, for keys that repeat or are null too."""
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", piece)
+    monkeypatch.setattr(neighbours, "PIECE_QUERIES", 30)
+    monkeypatch.setattr(neighbours, "SLICES", 1)
+    points = np.vstack([rng.integers(0, 6, size=(rows - 20, 3)), np.zeros((20, 3))]).astype(float)
+    queries = np.vstack([rng.integers(0, 9, size=(90, 3)), np.full((2, 3), 50.0), points[:5]])
+
+    def frame(prefix, data):
+        keys = [f"{prefix}{i}" for i in range(len(data))]
+        keys[0], keys[-1] = None, keys[-2]
+        given = [(a, [float(x) for x in v], int(x % 2)) for a, v, x in zip(keys, data, rng.integers(0, 2, len(data)))]
+        return spark.createDataFrame(given, "id string, a array<double>, label int").select("id", "label", array_to_vector("a").alias("features"))
+
+    train, test = frame("p", points).dropDuplicates(["id"]).localCheckpoint(), frame("q", queries)
+    whole, dealt = ([(r.id or "", r.label, r.score) for r in neighbours.neighbour_vote(train, test, "id", "features", "label", 9, *n).collect()] for n in ((), (7,)))
+    assert len(dealt) == len(queries) and sorted(dealt) == sorted(whole)
