@@ -180,7 +180,10 @@ def _queue_rows(t):
 
 
 def _anomaly_queue_rows(t):
-    return _queue(t).groupBy("flag_reason").agg(F.count(F.lit(1)).alias("orders"), F.sum("item_total_sum").alias("value"))
+    """The queue itself: every order with its inputs, robust z-scores, isolation score, both flags, their union and the reason."""
+    scores = [f"{c}_z" for c in A.FOREST_INPUTS]
+    flags = ["robust_z_flag", "isolation_score", "isolation_forest_flag", "review_flag", "flag_reason"]
+    return _queue(t).select("order_id", "user_id", "order_date", "total_amount", *A.FOREST_INPUTS, *scores, *flags)
 
 
 def _forest_scores(t):

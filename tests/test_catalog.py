@@ -67,6 +67,16 @@ def test_forest_flags_two_percent(spark, folder):
     assert sum(r.isolation_forest_flag for r in found) == pytest.approx(0.02 * len(found), abs=2)
 
 
+def test_review_queue_has_every_order(spark, folder):
+    found = rows(spark, folder, "anomaly_review_queue")
+    totals = {r.method: r for r in rows(spark, folder, "review_queue_totals")}
+    assert sorted(r.order_id for r in found) == sorted(str(r.o_orderkey) for r in spark.read.parquet(f"{folder}/orders.parquet").collect())
+    flagged = [r for r in found if r.review_flag]
+    assert len(flagged) == totals["Union review queue"].orders
+    assert {r.flag_reason for r in flagged} <= {"both_methods", "robust_z_only", "isolation_forest_only"}
+    assert all(r.review_flag == max(r.robust_z_flag, r.isolation_forest_flag) and r.max_item_price_z is not None for r in flagged)
+
+
 @pytest.mark.parametrize("name", ["holt_winters", "future_forecast"])
 def test_forecasts_are_not_negative(name, spark, folder):
     found = rows(spark, folder, name)
