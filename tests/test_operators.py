@@ -363,3 +363,30 @@ def test_neighbour_vote_in_pieces_is_the_vote_of_all_rows(spark, rng, monkeypatc
     train, test = frame("p", points).dropDuplicates(["id"]).localCheckpoint(), frame("q", queries)
     whole, dealt = ([(r.id or "", r.label, r.score) for r in neighbours.neighbour_vote(train, test, "id", "features", "label", 9, *n).collect()] for n in ((), (7,)))
     assert len(dealt) == len(queries) and sorted(dealt) == sorted(whole)
+
+
+def test_bagged_trees_of_many_rows_are_those_of_the_matrix(spark, rng, monkeypatch):
+    """More rows than travel whole are all used: borders, trees, importances and scores are those of one matrix."""
+    x = np.column_stack([rng.normal(size=1203).round(2), rng.integers(0, 3, 1203), np.zeros(1203), rng.exponential(size=1203)])
+    y = (x[:, 0] + x[:, 1] > 1).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), [float(v) for v in x[i]], 1.0 + int(y[i])) for i in range(1203)], "id int, label int, v array<double>, w double")
+    df = df.repartition(5).select("id", "label", array_to_vector("v").alias("features"), "w")
+    whole = bagged_trees.BaggedTrees(trees=12, min_leaf=3).setWeightCol("w").fit(df)
+    monkeypatch.setattr(bagged_trees, "SCORED_BYTES", 2_000)
+    dealt = bagged_trees.BaggedTrees(trees=12, min_leaf=3, sent_rows=100).setWeightCol("w").fit(df)
+    assert len(dealt._groups()) > 1
+    assert all((a == b).all() for a, b in zip(whole.edges, dealt.edges)) and whole.featureImportances == dealt.featureImportances
+    for a, b in zip(whole.trees, dealt.trees):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.left == b.left).all() and (a.share == b.share).all()
+    scores = [{r.id: (r.label, r.score) for r in m.score(df, "id").collect()} for m in (whole, dealt)]
+    assert scores[0] == scores[1] and len(scores[0]) == 1203
+
+
+@pytest.mark.parametrize("name,value", [("STEP_ROWS", 64), ("STEP_NODES", 2), ("ROOM", 10)])
+def test_trees_do_not_depend_on_the_size_of_a_step(rng, monkeypatch, name, value):
+    codes, y = rng.integers(0, 20, (700, 4)).astype(np.uint8), rng.integers(0, 2, 700).astype(float)
+    w = np.where(y == 1, 2.0, 0.5)  # exact in any order of summation
+    want = bagged_trees.grow_tree(codes, y, w, 5, 2, 3, 100)
+    monkeypatch.setattr(bagged_trees, name, value)
+    got = bagged_trees.grow_tree(codes, y, w, 5, 2, 3, 100)
+    assert (got.feature == want.feature).all() and (got.left == want.left).all() and (got.cut == want.cut).all() and (got.share == want.share).all()
