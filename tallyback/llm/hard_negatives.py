@@ -21,6 +21,7 @@ from tallyback.session import cut_lineage, release
 
 CHUNK_ROWS = 2048  # rows of one packed chunk
 BLOCK_ANCHORS = 2048  # anchors of one packed block
+SHELF_CHUNKS = 32  # chunks that one copy of the blocks meets, where there are enough for all cores
 SIDE_BY_SIDE = 256  # anchors whose scores are in memory at once
 EXACT = 2.0**53  # whole numbers a double holds
 NO_LIMIT = np.iinfo(np.int64).min
@@ -48,11 +49,16 @@ def _pack(rows: DataFrame, size: int, part: str, extra: list[str]) -> DataFrame:
 
 
 def _tiles(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every chunk beside every block of its dimension; the blocks go to the chunks, which stay where they are."""
-    n = chunks.count()
-    each = blocks.select("dim", F.col("rows").alias("anchors"), F.explode(F.sequence(F.lit(0), F.lit(n - 1).cast("int"))).alias("chunk"))
-    left = chunks.withColumn("chunk", F.col("chunk").cast("int")).repartition(max(1, n), "chunk")
-    return left.join(each.repartition(max(1, n), "chunk"), ["chunk", "dim"]).select("rows", "anchors")
+    """Every chunk beside every block of its dimension.
+
+    The copies of the blocks are many times the table that the planner knows, so the join is one by shuffle, never by broadcast: a
+    task holds a shelf of chunks, and the blocks, a copy a shelf, stream past it.
+    """
+    n = max(1, chunks.count())
+    shelves = min(n, max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-n // SHELF_CHUNKS)))
+    each = blocks.select("dim", F.col("rows").alias("anchors"), F.explode(F.sequence(F.lit(0), F.lit(shelves - 1).cast("int"))).alias("shelf"))
+    left = chunks.withColumn("shelf", F.pmod("chunk", F.lit(shelves)).cast("int")).repartition(shelves, "shelf", "dim")
+    return left.hint("shuffle_hash").join(each.repartition(shelves, "shelf", "dim"), ["shelf", "dim"]).select("rows", "anchors")
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:

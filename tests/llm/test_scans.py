@@ -110,6 +110,16 @@ def test_hard_negatives_against_all_pairs(spark, monkeypatch):
     assert mine_hard_negatives(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_tiles_are_never_broadcast(spark):
+    """Copies of the anchors' blocks grow with the chunks, which the planner does not see: they must not meet on the driver."""
+    one = spark.range(40).select("id", F.lit("a").alias("label"), F.lit(2).alias("dim"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    chunks, blocks = hard_negatives._pack(one, 5, "chunk", []), hard_negatives._pack(one.filter("id < 10"), 4, "block", [])
+    tiles = hard_negatives._tiles(chunks, blocks)
+    assert "Broadcast" not in tiles._jdf.queryExecution().executedPlan().toString()
+    pairs = sorted((c.id, a.id) for t in tiles.collect() for c in t.rows for a in t.anchors)
+    assert pairs == sorted((c, a) for c in range(40) for a in range(10))
+
+
 def test_hard_negatives_beyond_doubles(spark):
     big = 2.0**30
     rows = [(0, 0, [big, 1.0]), (1, 0, [big, 3.0]), (2, 1, [big * 0.75, 1.0]), (3, 1, [big * 0.75, 2.0])]
